@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens, urls, warc
+from . import jaccard, licenses, quality, tokens, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.warc_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ok")
@@ -26,6 +30,10 @@ def op4_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op5_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -37,7 +45,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_segments, op4_url_digests, op6_bpe_tree, op7_packing)}
+def op9_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op3_warc_segments, op4_url_digests, op5_jaccard_tiles, op6_bpe_tree, op7_packing, op9_license_phrases)}
 
 ORACLE: dict[str, str] = {
     "op3_warc_segments": """
