@@ -33,6 +33,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A staged list of ids of at most so many rows is broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if a count shows that they are few."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice stay near SLICE_CHARS bytes; a longer text stands alone."""
     lengths = [n or 0 for n in pa.compute.binary_length(batch.column(text)).to_pylist()]

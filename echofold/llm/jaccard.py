@@ -8,11 +8,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, staged
+from .common import by_slice, few, staged
 
 _WORDS = 8  # 64-bit words of a bitmap
-#: A list of nodes smaller than this is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 class _Hashes(dict):
@@ -92,11 +90,6 @@ def node_of(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def _few(nodes: DataFrame) -> DataFrame:
-    """nodes, to be broadcast if a count shows that they are few."""
-    return F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-
-
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, set (sorted little-endian 64-bit array) for nodes(node, doc_id); each node is computed from one text."""
 
@@ -109,7 +102,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 sets.append(s.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    picked = docs.join(_few(nodes.select("node", "doc_id")), "doc_id").select("node", "text")
+    picked = docs.join(few(nodes.select("node", "doc_id")), "doc_id").select("node", "text")
     return picked.mapInArrow(by_slice(make), "node bigint, set binary")
 
 

@@ -94,6 +94,35 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def _judge(texts: list[str | None], min_repeat: int, max_covered: float, max_longest: int, min_words: int) -> list[np.ndarray]:
+    """The measures of repetition_rules, in its order, for a run of texts."""
+    texts = [t or "" for t in texts]
+    ids, words, chars, symbols, lines = _Ids(), [], [], [], []
+    for text in texts:
+        own = text.encode().split()
+        words.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
+        chars.append(len(text) - sum(map(text.count, _SPACES)))
+        symbols.append(sum(map(text.count, _SYMBOLS)))
+        parts = text.split("\n")
+        lines.append(0 if len(parts) < 2 or len(set(parts)) == len(parts) else len(kept := [x for x in parts if _WORD.search(x)]) - len(set(kept)))
+    counts = np.array([len(w) for w in words], np.int64)
+    flat, doc = np.concatenate(words), np.repeat(np.arange(len(words)), counts)
+    repeat = longest_repeats(flat, doc, counts)
+    n, k = len(flat), len(words)
+
+    def per_doc(least, width=None):
+        starts = np.flatnonzero(repeat >= least)
+        spans = repeat[starts] if width is None else np.full(len(starts), width)
+        return np.bincount(doc[covered(starts, spans, n)], minlength=k) if n else np.zeros(k, np.int64)
+
+    windows, spans = per_doc(3, 3), per_doc(min_repeat)
+    longest = np.zeros(k, np.int64)
+    np.maximum.at(longest, doc, repeat)
+    failed = (counts < min_words) | (100 * windows > 50 * counts)
+    kept = ~failed & (spans <= max_covered * counts) & (longest <= max_longest)
+    return [counts, np.array(chars, np.int64), np.array(symbols, np.int64), np.array(lines, np.int64), windows, failed, spans, longest, kept]
+
+
 def repetition_rules(docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.3, max_longest: int = 100, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Word counts, repeats and a verdict for each whole text.
 
@@ -108,31 +137,16 @@ def repetition_rules(docs: DataFrame, min_repeat: int = 10, max_covered: float =
     schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, covered_words bigint, longest_repeat bigint, kept boolean"
 
     def make(batch):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        ids, words, chars, symbols, lines = _Ids(), [], [], [], []
-        for text in texts:
-            own = text.encode().split()
-            words.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
-            chars.append(len(text) - sum(map(text.count, _SPACES)))
-            symbols.append(sum(map(text.count, _SYMBOLS)))
-            parts = text.split("\n")
-            lines.append(0 if len(parts) < 2 or len(set(parts)) == len(parts) else len(kept := [x for x in parts if _WORD.search(x)]) - len(set(kept)))
-        counts = np.array([len(w) for w in words], np.int64)
-        flat, doc = np.concatenate(words), np.repeat(np.arange(len(words)), counts)
-        repeat = longest_repeats(flat, doc, counts)
-        n, k = len(flat), len(words)
-
-        def per_doc(least, width=None):
-            starts = np.flatnonzero(repeat >= least)
-            spans = repeat[starts] if width is None else np.full(len(starts), width)
-            return np.bincount(doc[covered(starts, spans, n)], minlength=k) if n else np.zeros(k, np.int64)
-
-        windows, spans = per_doc(3, 3), per_doc(min_repeat)
-        longest = np.zeros(k, np.int64)
-        np.maximum.at(longest, doc, repeat)
-        failed = (counts < min_words) | (100 * windows > 50 * counts)
-        kept = ~failed & (spans <= max_covered * counts) & (longest <= max_longest)
-        cols = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (counts, chars, symbols, lines, windows)), pa.array(failed), pa.array(spans, pa.int64()), pa.array(longest, pa.int64()), pa.array(kept)]
-        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+        found = _judge(batch.column("text").to_pylist(), min_repeat, max_covered, max_longest, min_words)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slice(make), schema)
+
+
+def keep_documents(docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.3, max_longest: int = 100, min_words: int = 50, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text repetition_rules keeps; one pass without a shuffle."""
+
+    def make(batch):
+        return batch.filter(pa.array(_judge(batch.column(text_col).to_pylist(), min_repeat, max_covered, max_longest, min_words)[-1]))
+
+    return docs.mapInArrow(by_slice(make, text_col), docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, quality, tokens, urls, warc
+from . import brown, jaccard, licenses, neighbours, quality, secrets, tokens, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.warc_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ok")
@@ -45,11 +49,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op3_warc_segments, op4_url_digests, op5_jaccard_tiles, op6_bpe_tree, op7_packing, op9_license_phrases)}
+def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_secret_forest, op3_warc_segments, op4_url_digests, op5_jaccard_tiles, op6_bpe_tree, op7_packing, op8_prefix_forest, op9_license_phrases, op10_brown_classes)}
 
 ORACLE: dict[str, str] = {
     "op3_warc_segments": """
