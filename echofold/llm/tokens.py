@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -32,7 +33,7 @@ class TreeEncoder:
     kept in a dictionary of bounded size.
     """
 
-    def __init__(self, path: str, leaf: int = 256, window: int = 16, cached: int = 400_000):
+    def __init__(self, path: str, leaf: int = 256, window: int = 16, cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         with open(path) as f:
@@ -52,6 +53,7 @@ class TreeEncoder:
         """Encode pieces that are not known yet, short ones in one call split at a special token."""
         if len(self.known) > self.cached:
             self.known.clear()
+        if len(self.cores) > self.cached:
             self.cores.clear()
         fresh = [x for x in pieces if x not in self.known]
         # ASCII letters are lower-cased and a final stop or comma is a pre-token of its own: fewer forms to encode
@@ -116,6 +118,17 @@ class TreeEncoder:
                     return left[:from_left] + middle[x:y] + right[from_right:]
             width *= 2
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers; unknown pieces of all texts are encoded together."""
+        pieces = [self.pieces(t or "") for t in texts]
+        fresh = set()
+        for own in pieces:
+            fresh.update(own)
+        fresh.difference_update(self.known)
+        if fresh:
+            self.learn(fresh)
+        return [self.encoded(own) for own in pieces]
+
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
         pieces = self.pieces(text)
@@ -137,6 +150,8 @@ class TreeEncoder:
         return " ".join([names[i] for i in ids.tolist()])
 
 
+# A Spark task has one core: the library's own threads would only fight the other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _ENCODERS: dict[str, TreeEncoder] = {}
 
 
@@ -157,9 +172,8 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def make(batch):
         enc, rows = encoder(path), []
-        texts = [x or "" for x in batch.column("text").to_pylist()]
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-            ids = enc.encode(text)
+        for doc, data in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist()), strict=True):
+            ids = np.frombuffer(data, dtype="<u4")
             listed, decoded = ids.tolist(), enc.decode(ids)
             rows.append((doc, len(ids), sha256(" ".join(map(str, listed)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest(), *([listed, decoded] if tokens else [])))
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if tokens else [])]
@@ -183,8 +197,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     def make(batch):
         enc, cols = encoder(path), [[], [], [], [], [], []]
         end = np.array([end_id], dtype="<u4").tobytes()
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = enc.encoded(enc.pieces(text or "")) + end
+        for doc, data in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist()), strict=True):
+            data += end
             n, at = len(data) // 4, 0
             for k in binary_lengths(n, capacity):
                 own = data[4 * at : 4 * (at + k)]
