@@ -1,17 +1,14 @@
-"""URL filters over a sorted digest array, and WARC writing and reading with segment reassembly."""
+"""URL filters over a sorted digest array."""
 
 from __future__ import annotations
 
 import mmap
-import os
 import re
 import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +23,18 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class DigestArray:
-    """A rule file: sorted 64-bit xxhash keys and, in the same order, verdicts and full strings, memory-mapped.
+    """Rules as sorted 64-bit xxhash keys and, in the same order, verdicts and full strings, memory-mapped
+    from a scratch file.
 
     Layout: count n; n keys; n + 1 offsets of the strings; n verdict bytes; the strings.
     ``find`` probes many keys with one vectorised binary search.  Hits are confirmed against the
     stored strings, walking over keys that collide.
     """
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
+    def __init__(self, data: bytes):
+        with tempfile.TemporaryFile() as f:
+            f.write(data)
+            f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         n = int(np.frombuffer(self.map, "<u8", 1)[0])
         self.keys = np.frombuffer(self.map, "<u8", n, 8)
@@ -71,15 +71,12 @@ class DigestArray:
         return out
 
 
-_OPEN: dict[str, DigestArray] = {}
-
-
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judge each url by the longest (verdict, host, path) rule that fits: page_id, host, path, rule, verdict.
 
     A rule fits its host and all its subdomains where the path starts with the rule's.  Rules lie in
-    a sorted digest array keyed by host + path, shipped to each executor as a Spark file and
-    memory-mapped there.  A url probes each suffix of its host with each prefix of its path whose
+    a sorted digest array keyed by host + path, broadcast, and memory-mapped from a
+    scratch file by each task.  A url probes each suffix of its host with each prefix of its path whose
     length some rule has.  Without a rule the verdict is ``default``.
 
     Null urls and urls without :// have an empty host and path; a host with empty labels keeps them.
@@ -89,16 +86,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     kinds = sorted({v for v, _, _ in rules} | {default})
     data = DigestArray.pack([(h + p, kinds.index(v)) for v, h, p in rules])
     lengths = sorted({len(p) for _, _, p in rules})
-    name = f"rules-{uuid.uuid5(uuid.NAMESPACE_OID, data.hex()).hex}.bin"
-    folder = tempfile.mkdtemp(prefix="echofold-rules-")
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(data)
-    pages.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    sent = pages.sparkSession.sparkContext.broadcast(data)  # as large as the rules, which the driver holds anyway
 
     def run(batches):
-        if name not in _OPEN:
-            _OPEN[name] = DigestArray(SparkFiles.get(name))
-        index = _OPEN[name]
+        index = DigestArray(sent.value)
         for batch in batches:
             parts = [split_url(u) for u in batch.column("url").to_pylist()]
             probes, owner = [], []
