@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, staged
+from .common import few, shared_path, staged
 
 _CRLF = b"\r\n"
 _DATE = "2020-01-01T00:00:00Z"  # a fixed date keeps archives reproducible
@@ -88,7 +88,8 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 0, segment_bytes:
     digests = base.select("page_id", F.sha1("html").alias("sha"), F.length("html").cast("bigint").alias("n"))
     first = digests.groupBy("sha", "n").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where((F.col("copies") > 1) & (F.col("n") >= min_revisit))
     repeats = digests.join(first, ["sha", "n"]).where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id"))).select("page_id", "first_id")
-    marked = base.join(repeats.where("page_id is not null").distinct(), "page_id", "left")
+    repeats = staged(repeats.where("page_id is not null").distinct(), "repeats")
+    marked = base.join(few(repeats), "page_id", "left")
 
     def run(batches):
         for batch in batches:
