@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _M = np.uint64(0xFFFFFFFF)
 _FNV_BASIS, _FNV_PRIME, _GOLDEN = 0x811C9DC5, 0x01000193, 0x9E3779B1
@@ -40,13 +41,35 @@ def signature(hashes: np.ndarray, size: int = 64) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<bigint>")
-def shingle_hashes(grams: pd.Series) -> pd.Series:
-    """FNV-1a of each string of an array, distinct and ascending."""
-    return grams.map(lambda g: None if g is None else sorted({fnv1a(x) for x in g}))
+def fnv1a_all(texts: list[str]) -> np.ndarray:
+    """fnv1a of many strings at once, one step a character."""
+    data = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    lengths = np.array([len(x) for x in data], np.int64)
+    flat = np.concatenate([*data, np.zeros(1, "<u2")]).astype(np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    out = np.full(len(texts), _FNV_BASIS, np.uint64)
+    for j in range(int(lengths.max(initial=0))):
+        at = np.flatnonzero(lengths > j)
+        out[at] = ((out[at] ^ flat[starts[at] + j]) * np.uint64(_FNV_PRIME)) & _M
+    return out
+
+
+def shingle_hashes(words: Column, k: int) -> Column:
+    """FNV-1a of each k-gram of an array of strings, distinct and ascending."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(bodies: pd.Series) -> pd.Series:
+        out = []
+        for w in bodies:
+            w = [] if w is None else list(w)
+            grams = list({" ".join(w[i : i + k]) for i in range(len(w) - k + 1)})
+            out.append(np.unique(fnv1a_all(grams)).astype(np.int64) if grams else np.zeros(0, np.int64))
+        return pd.Series(out)
+
+    return run(words)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def minhash(hashes: pd.Series) -> pd.Series:
     return hashes.map(lambda h: None if h is None else signature(np.asarray(h, np.uint64)).astype(np.int64))
 

@@ -26,7 +26,7 @@ def body_shape(tokens: Column) -> Column:
 
 def signed(bodies: DataFrame, k: int = 5) -> DataFrame:
     """bodies (id, words, ...) with shingles (hashes, ascending), n_shingles and sig; bodies without a shingle go."""
-    out = bodies.withColumn("shingles", H.shingle_hashes(H.word_grams(F.col("words"), k))).where(F.size("shingles") > 0)
+    out = bodies.withColumn("shingles", H.shingle_hashes(F.col("words"), k)).where(F.size("shingles") > 0)
     return out.withColumn("n_shingles", F.size("shingles")).withColumn("sig", H.minhash(F.col("shingles")))
 
 
