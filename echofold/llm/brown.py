@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, staged
+from .common import commonest, staged
 
 #: The end of a text as a word; no word is empty.
 END = b""
@@ -120,7 +120,7 @@ def score_texts(docs: DataFrame, classes: int = 24, units: int = 400, frequent:
 
     counts = base.mapInArrow(count, "h bigint, c bigint, bucket int").groupBy("h").agg(F.sum("c").alias("c"), F.min("bucket").alias("bucket"))
     counts = staged(counts, "word-counts")
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas()
+    top = commonest(counts, "c", frequent).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     per = {r.bucket: (r.n, r.v) for r in counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     total, distinct = sum(n for n, _ in per.values()), sum(v for _, v in per.values())
 

@@ -44,6 +44,25 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def commonest(counts: DataFrame, c: str, n: int) -> DataFrame:
+    """The rows of the largest counts, at most n in all: those at or above a bound that a histogram gives.
+
+    Rows that tie at the edge are left out together.  The histogram has at most some 60,000 rows, and no
+    task sends more than what is kept.
+    """
+    from pyspark.sql import functions as F
+
+    level = F.when(F.col(c) < 1024, F.col(c)).otherwise(F.floor(F.log2(c) * 1024)).cast("bigint")
+    rows = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, bound = 0, None
+    for value, some in rows:
+        total += some
+        if total > n:
+            break
+        bound = value
+    return counts.where(F.lit(False) if bound is None else level >= bound)
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice stay near SLICE_CHARS bytes; a longer text stands alone."""
     lengths = [n or 0 for n in pa.compute.binary_length(batch.column(text)).to_pylist()]
