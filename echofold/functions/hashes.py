@@ -76,5 +76,11 @@ def minhash(hashes: pd.Series) -> pd.Series:
 
 def word_grams(words: Column, k: int) -> Column:
     """The distinct k-grams of an array of strings; none where it is shorter."""
-    n = F.size(words)
-    return F.when(n < k, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(words, i + 1, k), " "))))
+
+    def grams(w: Column) -> Column:
+        n = F.size(w)
+        each = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
+        return F.when(n < k, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    # a lambda's variable: else the array would be computed again for each gram
+    return F.transform(F.array(words), grams)[0]
