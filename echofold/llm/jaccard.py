@@ -7,8 +7,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_slice, few, staged
+from .common import by_slice, commonest, few, staged
 
 _WORDS = 8  # 64-bit words of a bitmap
 
@@ -55,6 +56,12 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(counts.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_bitmap(s: np.ndarray) -> np.ndarray:
+    """A parity signature of 4096 bits (of other hash bits), for pairs of long texts that 512 bits can't tell apart."""
+    counts = np.bincount(((s >> np.uint64(20)) & np.uint64(4095)).astype(np.int64), minlength=4096) & 1
+    return np.packbits(counts.astype(np.uint8))
+
+
 def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which two linked sets share one at least: the first n - ceil(t n) + 1 in one fixed order, common ones last."""
     n = len(s) - (-(-percent * len(s) // 100)) + 1
@@ -90,20 +97,22 @@ def node_of(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, set (sorted little-endian 64-bit array) for nodes(node, doc_id); each node is computed from one text."""
+def _sets(docs: DataFrame, nodes: DataFrame, k: int, of=lambda s: s) -> DataFrame:
+    """nodes (node, doc_id, ...) without doc_id, with set: the node's sorted 64-bit array (or ``of`` it), computed from that document's text."""
+    schema = nodes.drop("doc_id").schema
 
     def make(batch):
         keep, sets = [], []
-        for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for i, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True)):
             s = shingle_set(text, k)
             if len(s) and node_of(s) == node:  # else another row with the same id
-                keep.append(node)
-                sets.append(s.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                keep.append(i)
+                sets.append(of(s).tobytes())
+        out = batch.drop_columns(["text"]).take(pa.array(keep, pa.int64()))
+        return out.append_column("set", pa.array(sets, pa.binary()))
 
-    picked = docs.join(few(nodes.select("node", "doc_id")), "doc_id").select("node", "text")
-    return picked.mapInArrow(by_slice(make), "node bigint, set binary")
+    picked = docs.join(few(nodes), "doc_id").select(*schema.names, "text")
+    return picked.mapInArrow(by_slice(make), T.StructType([*schema.fields, T.StructField("set", T.BinaryType())]))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -174,32 +183,38 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     4. What still shares a prefix shingle but not a component is paired under the same size and
        signature bounds, in joins that Spark may split, and decided exactly.
 
-    Null and empty texts have an empty set and stand alone.  A null doc_id takes part through its
-    text and never names a component (null if no other does).  Repeated ids and rows each give a row.
+    Null and empty texts have an empty set and stand alone.  A row with a null doc_id is linked only
+    to rows with an equal set, and never names a component (null if no other does).  Repeated ids and
+    rows each give a row; of several texts under one id each has its own set.
     Sets and shingles count as equal when their 64-bit hashes are.
     """
     spark = docs.sparkSession
     base = _docs(docs, id_col, text_col)
     found = staged(signatures(base, k), "signatures")
     rows = found.where("shingle is null").select("doc_id", "n", "node", "bits")
-    common = found.where("shingle is not null").groupBy("shingle").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "shingle").limit(heavy_rows).collect()
+    common = commonest(staged(found.where("shingle is not null").groupBy("shingle").agg(F.sum("hits").alias("hits")), "common"), "hits", heavy_rows).collect()
     heavy = np.array(sorted((np.int64(r.shingle).astype(np.uint64), int(r.hits).bit_length()) for r in common), dtype=[("h", "<u8"), ("level", "<i4")])
     sent = spark.sparkContext.broadcast(heavy)  # at most heavy_rows entries of 12 bytes
 
-    def emit(batch):
-        keys, nodes, sizes = [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingle_set(text, k)
-            if len(s):
-                p = prefix(s, sent.value, percent)
-                keys.append(p.view(np.int64))
-                nodes.append(np.full(len(p), node_of(s)))
-                sizes.append(np.full(len(p), len(s), np.int32))
-        if not keys:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "size"])
-
-    keys = staged(base.select("text").mapInArrow(by_slice(emit), "key bigint, node bigint, size int"), "prefixes")
+    def emit(batches):
+        seen: set[int] = set()  # equal sets of a task emit once
+
+        def make(batch):
+            keys, nodes = [], []
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text, k)
+                if len(s) and (node := node_of(s)) not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(node)
+                    p = prefix(s, sent.value, percent)
+                    keys.append(p.view(np.int64))
+                    nodes.append(np.full(len(p), node))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], names=["key", "node"]) if keys else None
+
+        yield from by_slice(make)(batches)
+
+    # one exchange serves both the aggregation and the join: the same rows, dealt by key
+    keys = base.select("text").mapInArrow(emit, "key bigint, node bigint").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub")
     members = staged(keys.join(shared, "key").distinct(), "members")
 
@@ -214,10 +229,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     blocks = F.ceil(F.col("c") / tile).cast("int")
     dealt = tiles.select("home", "node", F.when(F.col("node") == F.col("home"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))).alias("block"))
     dealt = dealt.select("home", "node", F.explode("block").alias("block"))
-    wanted = staged(dealt, "tiles")
-
-    def sets_of(which: DataFrame) -> DataFrame:
-        return _sets(base, which.select("node").distinct().join(nodes, "node").where("doc_id is not null"), k)
+    wanted = staged(dealt.join(nodes.select("node", "doc_id"), "node"), "tiles")
 
     edge_schema = "a bigint, b bigint"
 
@@ -228,14 +240,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
         pairs = tile_edges(own["node"].tolist(), [np.frombuffer(x, np.uint64) for x in own["set"]], percent)
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
-    tiled = wanted.join(sets_of(wanted), "node").groupBy("home", "block").applyInPandas(in_tile, edge_schema)
+    tiled = _sets(base, wanted, k).groupBy("home", "block").applyInPandas(in_tile, edge_schema)
     edges = staged(tiled, "tile-edges")
     labels = staged(components(wanted.select("node").distinct(), edges), "components")
 
     # what is left: members of one key in different components
-    marked = members.select("key", "node", "size").join(labels, "node")
+    marked = members.select("key", "node").join(labels, "node")
     open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = staged(marked.join(open_keys, "key").join(nodes.select("node", "bits"), "node"), "rest")
+    rest = staged(marked.join(open_keys, "key").join(nodes.select("node", "size", "bits"), "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     total = F.col("x.size") + F.col("y.size")
     differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(1, _WORDS)), F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])))
@@ -244,7 +256,24 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     pairs = staged(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     if pairs.limit(1).count():
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-        sets = staged(sets_of(ends), "sets")
+        # wide signatures of half a kilobyte first, so that few pairs need their sets brought together
+        ends = staged(ends.distinct().join(nodes.select("node", "doc_id"), "node"), "ends")
+        wide = staged(_sets(base, ends, k, wide_bitmap).groupBy("node").agg(F.any_value("set").alias("set")).join(nodes.select("node", "size"), "node"), "wide")
+
+        def may_link(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("s", "t"))
+                    differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+                    both = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+                    overlap = (both - differ) // 2
+                    yield batch.select(["a", "b"]).filter(pa.array(100 * overlap >= percent * (both - overlap)))
+
+        side = lambda e, n, v: wide.select(F.col("node").alias(e), F.col("size").alias(n), F.col("set").alias(v))
+        pairs = staged(pairs.join(side("a", "n", "s"), "a").join(side("b", "m", "t"), "b").select("a", "b", "n", "m", "s", "t").mapInArrow(may_link, edge_schema), "close-pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+        ends = staged(ends.distinct().join(nodes.select("node", "doc_id"), "node"), "close-ends")
+        sets = staged(_sets(base, ends, k), "sets")
 
         def exact(batches):
             for batch in batches:
