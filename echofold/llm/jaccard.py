@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,20 +16,48 @@ from .common import by_slice, commonest, few, staged
 _WORDS = 8  # 64-bit words of a bitmap
 
 
-class _Hashes(dict):
-    def __missing__(self, key):
-        if len(self) > 1_000_000:
-            self.clear()
-        self[key] = out = xxhash.xxh3_64_intdigest(key)
-        return out
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
 
-_HASHES = _Hashes()
+_LONG = 64  # bytes of the longest word that is hashed by table
+_INSIDE = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: A fixed value for each byte at each place in a word.
+_TABLE = _mix(_mix(np.arange(1, 256 * _LONG + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+def _block_hashes(text: bytes) -> np.ndarray:
+    b = np.frombuffer(b" %b " % text, np.uint8)
+    inside = _INSIDE[b]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    if lengths.max() > _LONG:
+        np.minimum(place, _LONG - 1, out=place)
+    h = _mix(np.add.reduceat(_TABLE[place * 256 + b[inside]], first))
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : starts[i] + lengths[i]])
+    return h
+
+
+def word_hashes(text: bytes, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word of a lower-cased text, computed over blocks that end between words.
+
+    A word of at most 64 bytes has the sum of fixed random values, one for each byte and place; a
+    longer one its xxh3 hash.
+    """
+    parts, at = [], 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + block)
+        end = cut.start() if cut else len(text)
+        parts.append(_block_hashes(text[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -35,16 +65,16 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
 
     Fewer than k words make one shingle; a text without words has an empty set.
     """
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = word_hashes((text or b"").lower())
+    if not len(h):
+        return h
     k = min(k, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)
     for j in range(k):
-        out = _mix(out * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n])
-    return np.unique(out)
+        out += h[j : j + n] * (_mix(np.full(1, j + 1, np.uint64)) | np.uint64(1))
+    out = np.sort(_mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -68,8 +98,12 @@ def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
     if len(heavy):
         at = np.searchsorted(heavy["h"], s)
         at[at == len(heavy)] = 0
-        level = np.where(heavy["h"][at] == s, heavy["level"][at], 0)
-        s = s[np.lexsort((s, level))]
+        common = heavy["h"][at] == s
+        light = s[~common]
+        if len(light) < n:  # common ones are sorted only if they are needed
+            s, level = s[common], heavy["level"][at[common]]
+            light = np.concatenate([light, s[np.lexsort((s, level))]])
+        s = light
     return s[:n]
 
 
@@ -233,14 +267,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
 
     edge_schema = "a bigint, b bigint"
 
-    def in_tile(pdf):
-        import pandas as pd
-
-        own = pdf.drop_duplicates("node")
-        pairs = tile_edges(own["node"].tolist(), [np.frombuffer(x, np.uint64) for x in own["set"]], percent)
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-    tiled = _sets(base, wanted, k).groupBy("home", "block").applyInPandas(in_tile, edge_schema)
+    def in_tiles(batches):
+        def solved():
+            pairs = np.array(tile_edges(list(own), list(own.values()), percent), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        own: dict[int, np.ndarray] = {}
+        now = None
+        for batch in batches:
+            homes, blocks, nodes_here, sets = (batch.column(c).to_pylist() for c in ("home", "block", "node", "set"))
+            for home, block, node, s in zip(homes, blocks, nodes_here, sets, strict=True):
+                if now != (home, block):
+                    if len(own) > 1:
+                        yield solved()
+                    own, now = {}, (home, block)
+                own[node] = np.frombuffer(s, np.uint64)
+        if len(own) > 1:
+            yield solved()
+
+    # many tiles are tiny: one sorted pass over a partition instead of a call for each
+    tiled = _sets(base, wanted, k).repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(in_tiles, edge_schema)
     edges = staged(tiled, "tile-edges")
     labels = staged(components(wanted.select("node").distinct(), edges), "components")
 
