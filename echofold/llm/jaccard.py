@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_slice, commonest, few, staged
+from .common import BROADCAST_ROWS, by_slice, commonest, few, staged
 
 _WORDS = 8  # 64-bit words of a bitmap
 
@@ -184,22 +184,29 @@ def tile_edges(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[t
     return [(nodes[order[r]], nodes[order[i]]) for i, r in enumerate(root.tolist()) if r != i]
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reached) by smallest labels of neighbours and pointer jumping, written each round."""
-    both = staged(edges.select(F.col("a"), F.col("b")).unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+def components(nodes: DataFrame, edges: DataFrame, rows_per_task: int = 250_000) -> DataFrame:
+    """node, comp (smallest node reached) by smallest labels of neighbours and pointer jumping, written each round.
+
+    edges are read more than once, so they should be a written table.  A round has one exchange where a count shows
+    that labels may be broadcast, and as many files as its rows ask for.
+    """
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    n_edges = edges.count()
+    both = staged(both.coalesce(2 * n_edges // rows_per_task + 1), "edges")
     ends = both.select(F.col("a").alias("node")).distinct()
-    labels = staged(ends.withColumn("comp", F.col("node")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
-        low = labels.unionAll(seen).groupBy("node").agg(F.min("comp").alias("comp"))
+    labels = staged(ends.select("node", F.col("node").alias("comp")).coalesce(2 * n_edges // rows_per_task + 1), "labels")
+    n = labels.count()
+    sent = F.broadcast if n <= BROADCAST_ROWS else lambda x: x
+    changed = n
+    while changed:
+        seen = both.join(sent(labels.select(F.col("node").alias("b"), "comp")), "b").select(F.col("a").alias("node"), "comp", F.lit(None).cast("bigint").alias("old"))
+        low = labels.select("node", "comp", F.col("comp").alias("old")).unionAll(seen).groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        moved = low.join(jump, "comp").select("node", F.least("comp", "up").alias("comp"))
-        new = staged(moved, "labels")
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+        moved = low.join(sent(jump), "comp").select("node", F.least("comp", "up").alias("comp"), "old")
+        moved = staged(moved.coalesce(n // rows_per_task + 1), "labels")
+        changed = moved.where("comp <> old").limit(1).count()
+        labels = moved.select("node", "comp")
+    return nodes.select("node").join(sent(labels), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = 256, heavy_rows: int = 131072, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,7 +339,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
         full = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
         more = full.select("a", "b", "s", "t").mapInArrow(exact, edge_schema)
         lifted = more.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        upper = components(labels.select(F.col("comp").alias("node")).distinct(), lifted)
+        upper = components(labels.select(F.col("comp").alias("node")).distinct(), staged(lifted, "lifted"))
         labels = labels.join(upper.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp").select("node", F.col("top").alias("comp"))
     whole = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
