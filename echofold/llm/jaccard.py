@@ -184,17 +184,37 @@ def tile_edges(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[t
     return [(nodes[order[r]], nodes[order[i]]) for i, r in enumerate(root.tolist()) if r != i]
 
 
+def _forest(batches):
+    """Of a task's edges, as many as keep what they connect connected: each node's smallest reached node and itself."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    ends = [(find(x), x) for x in list(root) if find(x) != x]
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*ends, strict=True)], names=["a", "b"])
+
+
 def components(nodes: DataFrame, edges: DataFrame, rows_per_task: int = 250_000) -> DataFrame:
     """node, comp (smallest node reached) by smallest labels of neighbours and pointer jumping, written each round.
 
-    edges are read more than once, so they should be a written table.  A round has one exchange where a count shows
+    edges are read more than once, so they should be a written table.  Tasks of about rows_per_task edges first
+    replace theirs by spanning stars, so that a group's pairs don't all go through the rounds.  A round has one exchange where a count shows
     that labels may be broadcast, and as many files as its rows ask for.
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    n_edges = edges.count()
-    both = staged(both.coalesce(2 * n_edges // rows_per_task + 1), "edges")
+    tasks = edges.count() // rows_per_task + 1
+    stars = staged(edges.select("a", "b").coalesce(tasks).mapInArrow(_forest, "a bigint, b bigint"), "stars")
+    both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = staged(both.coalesce(tasks), "edges")
     ends = both.select(F.col("a").alias("node")).distinct()
-    labels = staged(ends.select("node", F.col("node").alias("comp")).coalesce(2 * n_edges // rows_per_task + 1), "labels")
+    labels = staged(ends.select("node", F.col("node").alias("comp")).coalesce(tasks), "labels")
     n = labels.count()
     sent = F.broadcast if n <= BROADCAST_ROWS else lambda x: x
     changed = n
@@ -222,7 +242,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     3. Each node goes to the tile of its commonest smallest partner, dealt in blocks of ``tile``; in
        a tile, ordered by size, signatures bound overlap and sorted arrays decide.
     4. What still shares a prefix shingle but not a component is paired under the same size and
-       signature bounds, in joins that Spark may split, and decided exactly.
+       signature bounds, and where the shingle lies in the prefixes that the pair's own sizes ask
+       for, in joins that Spark may split, and decided exactly.
 
     Null and empty texts have an empty set and stand alone.  A row with a null doc_id is linked only
     to rows with an equal set, and never names a component (null if no other does).  Repeated ids and
@@ -241,7 +262,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
         seen: set[int] = set()  # equal sets of a task emit once
 
         def make(batch):
-            keys, nodes = [], []
+            keys, nodes, at = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k)
                 if len(s) and (node := node_of(s)) not in seen:
@@ -250,12 +271,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
                     p = prefix(s, sent.value, percent)
                     keys.append(p.view(np.int64))
                     nodes.append(np.full(len(p), node))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], names=["key", "node"]) if keys else None
+                    at.append(np.arange(len(p), dtype=np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, at)], names=["key", "node", "at"]) if keys else None
 
         yield from by_slice(make)(batches)
 
     # one exchange serves both the aggregation and the join: the same rows, dealt by key
-    keys = base.select("text").mapInArrow(emit, "key bigint, node bigint").repartition("key")
+    keys = base.select("text").mapInArrow(emit, "key bigint, node bigint, at int").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub")
     members = staged(keys.join(shared, "key").distinct(), "members")
 
@@ -298,14 +320,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     labels = staged(components(wanted.select("node").distinct(), edges), "components")
 
     # what is left: members of one key in different components
-    marked = members.select("key", "node").join(labels, "node")
+    marked = members.select("key", "node", "at").join(labels, "node")
     open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = staged(marked.join(open_keys, "key").join(nodes.select("node", "size", "bits"), "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     total = F.col("x.size") + F.col("y.size")
     differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(1, _WORDS)), F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])))
     fits = (100 * ((total - differ) / 2) >= percent * (total - (total - differ) / 2)) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & fits)
+    # a pair's own prefixes are those that its needed overlap leaves, shorter than either's alone
+    spare = total - F.expr(f"ceil({percent} * (x.size + y.size) / {100 + percent}.0D - 1e-6)")
+    early = (F.col("x.at") <= spare - F.col("y.size")) & (F.col("y.at") <= spare - F.col("x.size"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & early & fits)
     pairs = staged(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     if pairs.limit(1).count():
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
