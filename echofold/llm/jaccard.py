@@ -239,8 +239,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     2. Each node emits its prefix: linked sets share one of its shingles.  Common shingles come last
        (a bounded list of at most heavy_rows of them only orders prefixes, so it never loses a link).
        Shingles of one node alone go.
-    3. Each node goes to the tile of its commonest smallest partner, dealt in blocks of ``tile``; in
-       a tile, ordered by size, signatures bound overlap and sorted arrays decide.
+    3. Each node goes to the tile of its commonest smallest partner, dealt in blocks of about ``tile``,
+       twice if there are several; in a block, ordered by size, signatures bound overlap and sorted arrays decide.
     4. What still shares a prefix shingle but not a component is paired under the same size and
        signature bounds, and where the shingle lies in the prefixes that the pair's own sizes ask
        for, in joins that Spark may split, and decided exactly.
@@ -288,9 +288,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     tiles = home.unionAll(home.select(F.col("home").alias("node"), "home")).distinct()
     counts = tiles.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     tiles = tiles.join(counts, "home").join(nodes.select("node", "size"), "node")
-    # blocks by size band, and the hub in each block of its tile
+    # the hub goes to each block of its tile; a tile of several blocks is dealt twice by unrelated hashes,
+    # so that what is connected within blocks of one dealing is connected across them by the other
     blocks = F.ceil(F.col("c") / tile).cast("int")
-    dealt = tiles.select("home", "node", F.when(F.col("node") == F.col("home"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))).alias("block"))
+    one = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    two = (blocks + F.pmod(F.xxhash64(F.lit(1), "node"), blocks)).cast("int")
+    own = F.when(blocks > 1, F.array(one, two)).otherwise(F.array(F.lit(0)))
+    dealt = tiles.select("home", "node", F.when(F.col("node") == F.col("home"), F.sequence(F.lit(0), F.when(blocks > 1, 2 * blocks - 1).otherwise(F.lit(0)))).otherwise(own).alias("block"))
     dealt = dealt.select("home", "node", F.explode("block").alias("block"))
     wanted = staged(dealt.join(nodes.select("node", "doc_id"), "node"), "tiles")
 
