@@ -273,3 +273,28 @@ def test_brown(spark):
         better = [r.score > r.base_score for r in got if r.held_out and r.n_tokens > 10]
         assert better and all(better)  # classes see that nouns and verbs alternate
     assert brown.score_texts(empty(spark)).count() == 0
+
+
+def test_pipeline_near_duplicates(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(120)]
+    other = [f"v{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join([*base[:60], *other]), "", None, " ".join(base), " ".join(other), " ".join([*other[:58], "y", "z"])]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    kept, sets = [], [grams(t) for t in texts]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and len(a & b) * 100 >= 80 * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    kept = [i for i, g in enumerate(group) if i == g]
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == kept
