@@ -321,7 +321,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     # many tiles are tiny: one sorted pass over a partition instead of a call for each
     tiled = _sets(base, wanted, k).repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(in_tiles, edge_schema)
     edges = staged(tiled, "tile-edges")
-    labels = staged(components(wanted.select("node").distinct(), edges), "components")
+    # every member, also one that is alone in its tile
+    labels = staged(components(members.select("node").distinct(), edges), "components")
 
     # what is left: members of one key in different components
     marked = members.select("key", "node", "at").join(labels, "node")

@@ -163,6 +163,18 @@ def test_jaccard_components(spark, k, percent):
     assert sorted(tuple(r) for r in got) == brute_components(rows, k, percent)
 
 
+def test_jaccard_hub_alone_in_its_tile(spark):
+    """A shares one prefix key with B and D, which share more with each other: A is its own commonest hub."""
+    rows = []
+    for f in range(12):
+        a = [f"f{f}a{i}" for i in range(102)]  # 100 shingles of 3 words
+        b = [*a, *(f"f{f}r{i}" for i in range(11))]  # 111 shingles: 0.90
+        d = [*b[:-1], f"f{f}end"]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([a] * 5 + [b, d])]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), 3, 90).collect()
+    assert sorted(tuple(r) for r in got) == brute_components(rows, 3, 90)
+
+
 def test_jaccard_edges(spark):
     got = jaccard.jaccard_components(documents(spark, EDGE)).collect()
     assert len(got) == len(EDGE)
