@@ -26,8 +26,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces packed into sequences of 4096 tokens."""
-    return tokens.pack_power_of_two(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of at most 4096 tokens, each a sequence of its power-of-two length."""
+    return tokens.pack_power_of_two(docs, public_tokenizers.path("word_bpe_49k.json"), joined=False)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("packing", packing)]

@@ -46,7 +46,7 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return tokens.pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), joined=False)
 
 
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

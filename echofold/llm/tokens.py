@@ -216,13 +216,15 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slice(make), schema)
 
 
-def pack_power_of_two(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", spread: int = 256, keep_ids: bool = False) -> DataFrame:
-    """Pack documents into sequences of ``capacity`` tokens by power-of-two decomposition.
+def pack_power_of_two(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", spread: int = 256, keep_ids: bool = False, joined: bool = True) -> DataFrame:
+    """Pack documents into sequences of at most ``capacity`` tokens by power-of-two decomposition.
 
     Each document (its ids, then end_id) is cut into whole sequences and the binary pieces of its
     rest.  Pieces of one length form a bucket; in bucket k every capacity/k pieces fill a sequence,
     numbered in bucket order, so a sequence holds pieces of equal length, its last one in each
     bucket perhaps fewer.  Then a piece fills its own power of two, and no padding comes between.
+    Unless ``joined``, each piece is a sequence of its own length (offset 0), numbered in bucket
+    order, so that no sequence crosses documents and none has padding.
     Buckets are dealt over ``spread`` slots by a hash of (doc_id, start), so no bucket meets in one task;
     each (length, slot) leaves at most one sequence short.  Slots are joined through counts only.
 
@@ -235,17 +237,17 @@ def pack_power_of_two(docs: DataFrame, path: str, capacity: int = 4096, end_id:
     keyed = pieces.withColumn("_slot", slot)
     counts = keyed.groupBy("length", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     # at most (log2(capacity) + 1) * spread rows, whatever the input
+    per = (F.lit(capacity) / F.col("length")).cast("bigint") if joined else F.lit(1).cast("bigint")
     place = Window.partitionBy("length").orderBy("_slot")
     before = counts.withColumn("_before", F.sum("_n").over(place) - F.col("_n"))
-    totals = counts.groupBy("length").agg(F.sum("_n").alias("_all")).withColumn("_seqs", F.ceil(F.col("_all") * F.col("length") / capacity))
+    totals = counts.groupBy("length").agg(F.sum("_n").alias("_all")).withColumn("_seqs", F.ceil(F.col("_all") / per))
     first = totals.withColumn("_first", F.sum("_seqs").over(Window.orderBy(F.desc("length"))) - F.col("_seqs")).select("length", "_first")
     bases = before.join(F.broadcast(first), "length").select("length", "_slot", "_before", "_first")
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_slot").orderBy("doc_id", "start", "ids_crc32")) - 1)
     ordinal = F.col("_before") + F.col("_rank")
-    per = F.lit(capacity) / F.col("length")
     return (
         ranked.join(F.broadcast(bases), ["length", "_slot"])
-        .withColumn("_per", per.cast("bigint"))
+        .withColumn("_per", per)
         .withColumn("sequence_id", (F.col("_first") + F.floor(ordinal / F.col("_per"))).cast("bigint"))
         .withColumn("offset", (F.pmod(ordinal, F.col("_per")) * F.col("length")).cast("bigint"))
         .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else []))

@@ -231,6 +231,26 @@ def test_packing(spark):
     assert tokens.pack_power_of_two(empty(spark), PATH).count() == 0
 
 
+def test_packed_sequences_hold_one_document(spark, tmp_path):
+    import corpus_pipeline
+
+    from echofold.llm import queries
+
+    rows = [(i, " ".join(["word", "other"] * (i % 37))) for i in range(200)] + [(1000, None), (1001, "long text " * 5000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(PATH)
+    want = Counter()
+    for d, x in rows:
+        for n in tokens.binary_lengths(len(t.encode(x or "", add_special_tokens=False).ids) + 1, 4096):
+            want[d, n] += 1
+    for df in (queries.op7_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, "")):
+        got = sorted(df.collect(), key=lambda r: r.sequence_id)
+        assert [r.sequence_id for r in got] == list(range(len(got))) and {r.offset for r in got} == {0}
+        assert [r.length for r in got] == sorted((r.length for r in got), reverse=True)
+        assert Counter((r.doc_id, r.length) for r in got) == want
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 16)).astype(np.float32)
