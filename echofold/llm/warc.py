@@ -7,6 +7,7 @@ from base64 import b32encode
 from hashlib import sha1
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,22 +81,32 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 0, segment_bytes:
     ends as its separator, so a lost executor leaves no half archive.  A file holds at most
     records_per_file records, hence at most about records_per_file * segment_bytes bytes.
 
+    A record is named by its page's id; where that is null or repeated, a suffix of task and row
+    makes the name unique, and a revisit of such a page names it without the suffix.
+
     Equal payloads are found by SHA-1 and length: one aggregation with partial sums and one join of
     digests, without html, that Spark may split where one payload is very common.
     """
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    digests = base.select("page_id", F.sha1("html").alias("sha"), F.length("html").cast("bigint").alias("n"))
+    base = base.withColumns({"sha": F.sha1("html"), "n": F.length("html").cast("bigint")})
+    digests = base.select("page_id", "sha", "n")
     first = digests.groupBy("sha", "n").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where((F.col("copies") > 1) & (F.col("n") >= min_revisit))
-    repeats = digests.join(first, ["sha", "n"]).where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id"))).select("page_id", "first_id")
+    repeats = digests.join(first, ["sha", "n"]).where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id"))).select("page_id", "sha", "n", "first_id")
     repeats = staged(repeats.where("page_id is not null").distinct(), "repeats")
-    marked = base.join(few(repeats), "page_id", "left")
+    shared = base.where("page_id is not null").groupBy("page_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = staged(shared, "shared-ids")
+    # by payload too: pages of one id may differ
+    marked = base.join(few(repeats), ["page_id", "sha", "n"], "left").join(few(shared), "page_id", "left")
 
     def run(batches):
+        row = 0
         for batch in batches:
             out = []
-            for page, url, body, first_id in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
-                rid = f"<urn:page:{'null' if page is None else page}>"
+            for page, url, body, first_id, rows in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "rows")), strict=True):
+                row += 1
+                own = f":r{TaskContext.get().partitionId()}.{row}" if page is None or rows else ""
+                rid = f"<urn:page:{'null' if page is None else page}{own}>"
                 uri = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or "urn:none")
                 common = [("WARC-Record-ID", rid), ("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("Content-Type", "application/http; msgtype=response")]
                 digest = [("WARC-Payload-Digest", f"sha1:{digest32(body)}")]
@@ -112,7 +123,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 0, segment_bytes:
                     out.append(record("continuation", [("WARC-Record-ID", f"{rid[:-1]}:{k}>"), ("WARC-Date", _DATE), ("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", str(k)), *last], part))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    lines = marked.select("page_id", "url", "html", "first_id", "rows").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -128,7 +139,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, ok boolean, stated string, origin string, segment int, total bigint, block binary" + ", payload binary" * payloads
 
     def number(urn: str | None) -> int | None:
-        m = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+        m = re.fullmatch(r"<urn:page:(-?\d+)(?::r\d+\.\d+)?>", urn or "")
         return int(m[1]) if m else None
 
     def decoded(block: bytes, stated: str | None) -> dict:

@@ -101,6 +101,17 @@ def test_warc_round_trip(spark):
     assert {r.page_id for r in warc.warc_round_trip(pages, min_revisit=5).where("record_type = 'revisit'").collect()} == {6}
 
 
+def test_warc_long_pages_with_null_and_equal_ids(spark):
+    long = {c: c * 200_000 for c in "abcdef"}
+    rows = [(None, "u1", long["a"]), (None, "u2", long["b"]), (None, "u3", long["a"]), (7, "u4", long["c"]), (7, "u5", long["d"]), (7, "u6", long["d"]), (7, "u7", long["f"]), (1, "u8", long["f"]), (2, "u9", long["e"])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2)
+    got = {r.url: r for r in warc.warc_round_trip(pages).collect()}
+    assert warc.warc_round_trip(pages).count() == len(rows) == len(got) and all(r.ok for r in got.values())
+    for i, url, html in rows:
+        assert (got[url].page_id, got[url].payload_bytes, got[url].payload_digest) == (i, len(html), warc.digest32(html.encode()))
+    assert {u: r.refers_to for u, r in got.items() if r.record_type == "revisit"} == {"u7": 1}
+
+
 def test_warc_segments_that_do_not_add_up(spark, tmp_path):
     good = b"HTTP/1.1 200 OK\r\n\r\nabcdef"
     def part(name, number, block, total=None):
