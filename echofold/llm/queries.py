@@ -42,7 +42,7 @@ WORD_BPE = "word_bpe_49k.json"
 
 
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return tokens.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), leaf=16)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,9 +203,12 @@ def test_bpe_matches_the_library(spark):
     alphabet = "abcdefghijklmnopqrstuvwxyz'’éßΣ日本😀.,!'1234 \n\x1c\x85 ́İ"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for _ in range(300)]
     texts += ["", "a<|endoftext|>b", "x" * 5000, "".join(rng.choice("abcdef'") for _ in range(20000)), "Hello, World. It's."]
-    small = tokens.TreeEncoder(PATH, leaf=8, window=2)
-    for x in texts:
-        assert small.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    texts += ["ab" * 700 + "'ll" * 90, "word%%%", "Été!! ÑOÑO. &&&", "aa" * 40 + "é" * 40, "x<|startoftext|>Y<|STARTOFTEXT|>", "\u212a \u0149a \u01c5", "don't!'s ''ll'"]
+    for encoder in (tokens.TreeEncoder(PATH, leaf=8, window=2), tokens.TreeEncoder(PATH, leaf=3, window=1), tokens.TreeEncoder(PATH, cached=10)):
+        for x in texts:
+            assert encoder.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+        ids, ends = encoder.encode_all([*texts, None, ""])
+        assert np.diff(ends, prepend=0).tolist() == [*(len(t.encode(x, add_special_tokens=False).ids) for x in texts), 0, 0]
     rows = [(i, x) for i, x in enumerate(texts)] + [(None, None)]
     got = {r.doc_id: r for r in tokens.bpe_round_trip(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH).collect()}
     for i, x in rows:
@@ -215,10 +218,22 @@ def test_bpe_matches_the_library(spark):
         assert got[i].decoded_sha256 == sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_edges(spark):
+    with pytest.raises(ValueError):
+        tokens.TreeEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = documents(spark, EDGE).withColumn("ids_sha256", F.lit(1))
+    got = tokens.bpe_round_trip(docs, PATH, leaf=4, tokens=True).collect()
+    assert len(got) == len(EDGE) and [r.n_tokens for r in got if r.doc_id == 1] == [0]
+    assert all(r.ids_sha256 == sha256(" ".join(map(str, r.ids)).encode()).hexdigest() and r.decoded_sha256 == sha256(r.decoded.encode()).hexdigest() for r in got)
+    assert tokens.bpe_round_trip(empty(spark), PATH).count() == 0
+    pieces = tokens.pack_power_of_two(docs.withColumn("length", F.lit("x")), PATH, capacity=64, joined=False).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, *_ in EDGE)
+
+
 def test_packing(spark):
     t = Tokenizer.from_file(PATH)
     rows = [(i, " ".join(["word", "other"] * (i % 37))) for i in range(200)] + [(1000, None), (1001, "long text " * 5000), (None, "x"), (7, "again")]
-    got = tokens.pack_power_of_two(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, capacity=64, spread=4).collect()
+    got = tokens.pack_power_of_two(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, capacity=64).collect()
     ids = defaultdict(list)
     for r in got:
         assert r.length & (r.length - 1) == 0 and r.offset % r.length == 0 and r.offset + r.length <= 64
