@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, by_slice, commonest, few, staged
+from .common import by_slice, commonest, few, small_batches, spare_name, staged
 
 _WORDS = 8  # 64-bit words of a bitmap
 
@@ -96,9 +96,10 @@ def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which two linked sets share one at least: the first n - ceil(t n) + 1 in one fixed order, common ones last."""
     n = len(s) - (-(-percent * len(s) // 100)) + 1
     if len(heavy):
-        at = np.searchsorted(heavy["h"], s)
+        own = buckets(s)
+        at = np.searchsorted(heavy["bucket"], own)
         at[at == len(heavy)] = 0
-        common = heavy["h"][at] == s
+        common = heavy["bucket"][at] == own
         light = s[~common]
         if len(light) < n:  # common ones are sorted only if they are needed
             s, level = s[common], heavy["level"][at[common]]
@@ -108,23 +109,45 @@ def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """doc_id, h (a hash of the text) and text: a row is known by its id and its text."""
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+
+
+#: How many hash buckets shingles are counted in, to put common ones last.
+_BUCKETS = 1 << 23
+
+
+def buckets(s: np.ndarray) -> np.ndarray:
+    return s >> np.uint64(64 - 23)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Per document: doc_id, n, node (hash of its set; null if empty) and its bitmap; besides, rows (shingle, hits) common in a slice."""
-    schema = "doc_id bigint, n bigint, node bigint, bits array<bigint>, shingle bigint, hits bigint"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingle", pa.int64()), ("hits", pa.int64())])
+    """Per document: doc_id, h, n, node (hash of its set; null if empty) and its bitmap; besides, rows (bucket, hits) of shingles common in a task.
 
-    def make(batch):
-        sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
-        rows = [{"doc_id": d, "n": len(s)} | ({"node": node_of(s), "bits": bitmap(s).tolist()} if len(s) else {}) for d, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True)]
-        found, hits = np.unique(np.concatenate(sets), return_counts=True)
-        often = hits >= 4
-        rows += [{"shingle": a, "hits": b} for a, b in zip(found[often].view(np.int64).tolist(), hits[often].tolist(), strict=True)]
-        return pa.RecordBatch.from_pylist(rows, schema=arrow)
+    A task counts its shingles by bucket, in a table of fixed size, and tells those well above the mean.
+    """
+    schema = "doc_id bigint, h bigint, n bigint, node bigint, bits array<bigint>, bucket bigint, hits bigint"
+    arrow = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.list_(pa.int64())), ("bucket", pa.int64()), ("hits", pa.int64())])
 
-    return docs.mapInArrow(by_slice(make), schema)
+    def run(batches):
+        counts = np.zeros(_BUCKETS, np.uint32)
+
+        def make(batch):
+            rows = []
+            for d, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
+                s = shingle_set(t, k)
+                np.add.at(counts, buckets(s).astype(np.intp), 1)
+                rows.append({"doc_id": d, "h": h, "n": len(s)} | ({"node": node_of(s), "bits": bitmap(s).tolist()} if len(s) else {}))
+            return pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+        yield from by_slice(make)(batches)
+        often = np.flatnonzero(counts >= 4 + 4 * int(counts.sum(dtype=np.int64)) // _BUCKETS)
+        for i in range(0, len(often), 100_000):
+            part = often[i : i + 100_000]
+            empty = [pa.nulls(len(part), f.type) for f in arrow][:5]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(part), pa.array(counts[part].astype(np.int64))], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -132,20 +155,21 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int, of=lambda s: s) -> DataFrame:
-    """nodes (node, doc_id, ...) without doc_id, with set: the node's sorted 64-bit array (or ``of`` it), computed from that document's text."""
-    schema = nodes.drop("doc_id").schema
+    """nodes (node, rid, rh, ...) without rid and rh, with set: the node's sorted 64-bit array (or ``of`` it), computed from the row of that id and text."""
+    schema = nodes.drop("rid", "rh").schema
 
     def make(batch):
         keep, sets = [], []
         for i, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True)):
             s = shingle_set(text, k)
-            if len(s) and node_of(s) == node:  # else another row with the same id
+            if len(s) and node_of(s) == node:  # else another text of the same hash
                 keep.append(i)
                 sets.append(of(s).tobytes())
         out = batch.drop_columns(["text"]).take(pa.array(keep, pa.int64()))
         return out.append_column("set", pa.array(sets, pa.binary()))
 
-    picked = docs.join(few(nodes), "doc_id").select(*schema.names, "text")
+    # an id may be null
+    picked = docs.join(few(nodes), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh"))).select(*schema.names, "text")
     return picked.mapInArrow(by_slice(make), T.StructType([*schema.fields, T.StructField("set", T.BinaryType())]))
 
 
@@ -202,6 +226,10 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*ends, strict=True)], names=["a", "b"])
 
 
+#: Labels (two integers each) that a join is broadcast with.
+_BROADCAST_LABELS = 1_000_000
+
+
 def components(nodes: DataFrame, edges: DataFrame, rows_per_task: int = 250_000) -> DataFrame:
     """node, comp (smallest node reached) by smallest labels of neighbours and pointer jumping, written each round.
 
@@ -216,7 +244,7 @@ def components(nodes: DataFrame, edges: DataFrame, rows_per_task: int = 250_000)
     ends = both.select(F.col("a").alias("node")).distinct()
     labels = staged(ends.select("node", F.col("node").alias("comp")).coalesce(tasks), "labels")
     n = labels.count()
-    sent = F.broadcast if n <= BROADCAST_ROWS else lambda x: x
+    sent = F.broadcast if n <= _BROADCAST_LABELS else lambda x: x
     changed = n
     while changed:
         seen = both.join(sent(labels.select(F.col("node").alias("b"), "comp")), "b").select(F.col("a").alias("node"), "comp", F.lit(None).cast("bigint").alias("old"))
@@ -229,15 +257,15 @@ def components(nodes: DataFrame, edges: DataFrame, rows_per_task: int = 250_000)
     return nodes.select("node").join(sent(labels), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = 256, heavy_rows: int = 131072, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exact near-duplicate components: doc_id, n_shingles, component_id, one row per document.
+def linked_sets(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = 256, heavy_rows: int = 524288, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document's group: doc_id, h (hash of its text), n (size of its set), node (its set) and comp, one row per document.
 
-    Two documents link where 100 * intersection >= percent * union of their k-word shingle sets.
-    component_id is the smallest doc_id reachable by links.
+    Two documents link where 100 * intersection >= percent * union of their k-word shingle sets; comp
+    is equal where links reach, and null, as node, for an empty set.
 
     1. Each text gets a hash of its set (its node) and a 512-bit signature; equal sets become one node.
     2. Each node emits its prefix: linked sets share one of its shingles.  Common shingles come last
-       (a bounded list of at most heavy_rows of them only orders prefixes, so it never loses a link).
+       (a bounded list of at most heavy_rows buckets of them only orders prefixes, so it never loses a link).
        Shingles of one node alone go.
     3. Each node goes to the tile of its commonest smallest partner, dealt in blocks of about ``tile``,
        twice if there are several; in a block, ordered by size, signatures bound overlap and sorted arrays decide.
@@ -245,17 +273,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
        signature bounds, and where the shingle lies in the prefixes that the pair's own sizes ask
        for, in joins that Spark may split, and decided exactly.
 
-    Null and empty texts have an empty set and stand alone.  A row with a null doc_id is linked only
-    to rows with an equal set, and never names a component (null if no other does).  Repeated ids and
-    rows each give a row; of several texts under one id each has its own set.
     Sets and shingles count as equal when their 64-bit hashes are.
     """
     spark = docs.sparkSession
     base = _docs(docs, id_col, text_col)
     found = staged(signatures(base, k), "signatures")
-    rows = found.where("shingle is null").select("doc_id", "n", "node", "bits")
-    common = commonest(staged(found.where("shingle is not null").groupBy("shingle").agg(F.sum("hits").alias("hits")), "common"), "hits", heavy_rows).collect()
-    heavy = np.array(sorted((np.int64(r.shingle).astype(np.uint64), int(r.hits).bit_length()) for r in common), dtype=[("h", "<u8"), ("level", "<i4")])
+    rows = found.where("bucket is null").select("doc_id", "h", "n", "node", "bits")
+    common = staged(found.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")), "common")
+    common = commonest(common, "hits", heavy_rows).orderBy("bucket").toArrow()
+    heavy = np.zeros(common.num_rows, dtype=[("bucket", "<u8"), ("level", "<i4")])
+    heavy["bucket"], heavy["level"] = common.column("bucket").to_numpy(), np.floor(np.log2(np.maximum(common.column("hits").to_numpy(), 1)))
     sent = spark.sparkContext.broadcast(heavy)  # at most heavy_rows entries of 12 bytes
 
     def emit(batches):
@@ -276,13 +303,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
 
         yield from by_slice(make)(batches)
 
-    # one exchange serves both the aggregation and the join: the same rows, dealt by key
-    keys = base.select("text").mapInArrow(emit, "key bigint, node bigint, at int").repartition("key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub")
-    members = staged(keys.join(shared, "key").distinct(), "members")
+    # written once, so that texts are cut into shingles once for the aggregation and the join
+    keys = staged(base.select("text").mapInArrow(emit, "key bigint, node bigint, at int"), "keys")
+    shared = staged(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub"), "shared")
+    # merged at every size, so that the plan, and what it needs, is one for small and large inputs
+    members = staged(keys.join(shared.hint("merge"), "key").distinct(), "members")
 
-    per_node = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("size"), F.any_value("bits").alias("bits"))
-    nodes = staged(per_node, "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("r")
+    per_node = rows.where("node is not null").groupBy("node").agg(first, F.min("n").alias("size"), F.any_value("bits").alias("bits"))
+    nodes = staged(per_node.select("node", F.col("r.doc_id").alias("rid"), F.col("r.h").alias("rh"), "size", "bits"), "nodes")
     home = members.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("home"))
     # a hub goes to its own tile too, so that its members meet it
     tiles = home.unionAll(home.select(F.col("home").alias("node"), "home")).distinct()
@@ -296,7 +325,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     own = F.when(blocks > 1, F.array(one, two)).otherwise(F.array(F.lit(0)))
     dealt = tiles.select("home", "node", F.when(F.col("node") == F.col("home"), F.sequence(F.lit(0), F.when(blocks > 1, 2 * blocks - 1).otherwise(F.lit(0)))).otherwise(own).alias("block"))
     dealt = dealt.select("home", "node", F.explode("block").alias("block"))
-    wanted = staged(dealt.join(nodes.select("node", "doc_id"), "node"), "tiles")
+    wanted = staged(dealt.join(nodes.select("node", "rid", "rh"), "node"), "tiles")
 
     edge_schema = "a bigint, b bigint"
 
@@ -340,7 +369,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
     if pairs.limit(1).count():
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
         # wide signatures of half a kilobyte first, so that few pairs need their sets brought together
-        ends = staged(ends.distinct().join(nodes.select("node", "doc_id"), "node"), "ends")
+        ends = staged(ends.distinct().join(nodes.select("node", "rid", "rh"), "node"), "ends")
         wide = staged(_sets(base, ends, k, wide_bitmap).groupBy("node").agg(F.any_value("set").alias("set")).join(nodes.select("node", "size"), "node"), "wide")
 
         def may_link(batches):
@@ -355,7 +384,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
         side = lambda e, n, v: wide.select(F.col("node").alias(e), F.col("size").alias(n), F.col("set").alias(v))
         pairs = staged(pairs.join(side("a", "n", "s"), "a").join(side("b", "m", "t"), "b").select("a", "b", "n", "m", "s", "t").mapInArrow(may_link, edge_schema), "close-pairs")
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-        ends = staged(ends.distinct().join(nodes.select("node", "doc_id"), "node"), "close-ends")
+        ends = staged(ends.distinct().join(nodes.select("node", "rid", "rh"), "node"), "close-ends")
         sets = staged(_sets(base, ends, k), "sets")
 
         def exact(batches):
@@ -371,7 +400,44 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
         lifted = more.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         upper = components(labels.select(F.col("comp").alias("node")).distinct(), staged(lifted, "lifted"))
         labels = labels.join(upper.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp").select("node", F.col("top").alias("comp"))
-    whole = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    least = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    mapped = whole.join(least, "comp").select("node", "component_id")
-    return rows.join(mapped, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    every = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    return rows.select("doc_id", "h", "n", "node").join(every, "node", "left").select("doc_id", "h", "n", "node", "comp")
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = 256, heavy_rows: int = 524288, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exact near-duplicate components (see linked_sets): doc_id, n_shingles, component_id, one row per document.
+
+    component_id is the smallest doc_id reachable by links.
+    Null and empty texts have an empty set and stand alone.  A row with a null doc_id is linked as any
+    other, but names a component never (null if no other row does).  Repeated ids and
+    rows each give a row; of several texts under one id each has its own set.  Other columns are
+    ignored.  An empty table gives no rows.
+    """
+    rows = staged(linked_sets(docs, k, percent, tile, heavy_rows, id_col, text_col), "linked")
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = 256, heavy_rows: int = 524288, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with one row of each group that links connect (see linked_sets).
+
+    It is the row with the smallest id, one with an id before those without; of several texts under
+    that id the one with the smallest hash, and of equal rows any.  Rows are told apart by id and text,
+    so a text stays though its id is that of a copy.  Null and empty texts are linked with nothing and stay.
+    """
+    rows = staged(linked_sets(docs, k, percent, tile, heavy_rows, id_col, text_col), "linked")
+    own = rows.where("comp is not null").groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    first = own.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("r"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("h") == F.col("r.h"))
+    judged = staged(own.join(first, "comp").select(F.col("doc_id").alias("rid"), F.col("h").alias("rh"), is_first.alias("stays"), "copies").where("not stays or copies > 1"), "judged")
+    h = spare_name(docs, "h")
+    left = docs.withColumn(h, F.xxhash64(text_col))
+    judged = judged.select(*(F.col(c).alias(spare_name(docs, c)) for c in judged.columns))
+    rid, rh, stays, _ = judged.columns
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(rid)) & (F.col(h) == F.col(rh))
+    out = left.join(few(judged.where(~F.col(stays)).select(rid, rh)), same, "left_anti")
+    repeated = judged.where(stays).select(rid, rh)
+    if repeated.limit(1).count():
+        repeated = few(repeated)
+        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([id_col, h]))
+    return out.select(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice
+from .common import by_slice, small_batches
 
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -140,7 +140,7 @@ def repetition_rules(docs: DataFrame, min_repeat: int = 10, max_covered: float =
         found = _judge(batch.column("text").to_pylist(), min_repeat, max_covered, max_longest, min_words)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slice(make), schema)
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slice(make), schema)
 
 
 def keep_documents(docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.3, max_longest: int = 100, min_words: int = 50, text_col: str = "text") -> DataFrame:
@@ -149,4 +149,4 @@ def keep_documents(docs: DataFrame, min_repeat: int = 10, max_covered: float = 0
     def make(batch):
         return batch.filter(pa.array(_judge(batch.column(text_col).to_pylist(), min_repeat, max_covered, max_longest, min_words)[-1]))
 
-    return docs.mapInArrow(by_slice(make, text_col), docs.schema)
+    return small_batches(docs).mapInArrow(by_slice(make, text_col), docs.schema)

@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from functools import cached_property
 from hashlib import sha256
 from itertools import islice
 
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_slice, few, staged
+from .common import by_slice, few, small_batches, staged
 
 _SPECIAL = b"<|"
 #: ASCII punctuation that is a pre-token of its own after letters; an apostrophe may open a contraction.
@@ -59,7 +60,7 @@ class TreeEncoder:
     Pieces that hold a special token's opening go to the library whole.
     """
 
-    def __init__(self, path: str, leaf: int = 256, window: int = 4, cached: int = 600_000):
+    def __init__(self, path: str, leaf: int = 256, window: int = 4, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path) as f:
@@ -71,10 +72,9 @@ class TreeEncoder:
             raise ValueError(f"{path}: not a tokenizer that is known to split at white space")
         bare = {"truncation": None, "padding": None, "post_processor": None}
         load = lambda **other: Tokenizer.from_str(json.dumps(spec | bare | other))
-        self.full, self.plain = load(), load(normalizer=None)
-        gaps = {"type": "WhitespaceSplit"}
-        self.ascii_words = load(normalizer=None, added_tokens=[], pre_tokenizer=gaps)
-        self.words = load(normalizer=None, added_tokens=[], pre_tokenizer={"type": "Sequence", "pretokenizers": [gaps, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+        self.full = load()
+        self.plain_ = lambda: load(normalizer=None)
+        self.words = load(normalizer=None, added_tokens=[], pre_tokenizer={"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
         self.leaf, self.window, self.cached = leaf, window, cached
         self.letters = re.compile(f"[a-z{_LATIN}]{{1,{leaf}}}")
         vocabulary = self.full.get_vocab(with_added_tokens=True)
@@ -86,6 +86,11 @@ class TreeEncoder:
         self.ends = np.array([t.endswith("</w>") for t in self.names])
         self.forget()
 
+    @cached_property
+    def plain(self):
+        """The tokenizer for normalised texts; loaded where there are trees."""
+        return self.plain_()
+
     def forget(self) -> None:
         self.known = _Places()
         self.flat = np.zeros(1 << 20, "<u4")
@@ -128,21 +133,17 @@ class TreeEncoder:
             if plain[i] and _SPECIAL in x:
                 plain[i] = False
         # each distinct head, tail and other piece is encoded once
-        ascii_words, words, odd = {}, {}, {}
+        words, odd = {}, {}
         for x, h, t, p in zip(pieces, heads, tails, plain, strict=True):
             if p:
-                (ascii_words if h.isascii() else words)[h] = 0
-                ascii_words[t] = 0
+                words[h] = words[t] = 0
             else:
                 odd[x] = 0
-        ascii_words.pop("", None)
-        flat, size = [], []
-        for ids, n in (self.together(self.ascii_words, list(ascii_words)), self.together(self.words, list(words)), self.one_by_one(list(odd))):
-            flat.append(ids)
-            size.append(n)
-        flat, size = np.concatenate(flat), np.append(np.concatenate(size), 0)
+        words.pop("", None)
+        (flat, size), (flat2, size2) = self.together(list(words)), self.one_by_one(list(odd))
+        flat, size = np.concatenate([flat, flat2]), np.concatenate([size, size2, [0]])
         first = np.cumsum(size) - size
-        slot = {x: i for i, x in enumerate((*ascii_words, *words))}
+        slot = {x: i for i, x in enumerate(words)}
         slot[""] = len(size) - 1
         others = {x: i for i, x in enumerate(odd, len(slot) - 1)}
         pairs = np.array([(slot[h], slot[t]) if p else (others[x], -1) for x, h, t, p in zip(pieces, heads, tails, plain, strict=True)])
@@ -156,10 +157,10 @@ class TreeEncoder:
         self.length = np.append(self.length, length)
         self.used = need
 
-    def together(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words of letters or of punctuation in a row, and how many each has: many a call, cut where a token ends a word."""
         lines = [" ".join(words[i : i + 128]) for i in range(0, len(words), 128)]
-        ids = np.array([i for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
+        ids = np.array([i for e in self.words.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
         counts = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         if len(counts) != len(words):
             raise ValueError("a word has no end")
@@ -279,7 +280,7 @@ def bpe_round_trip(docs: DataFrame, path: str, leaf: int = 256, id_col: str = "d
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int64()), pa.string()] if tokens else [])]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slice(make), schema)
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slice(make), schema)
 
 
 def binary_lengths(n: int, capacity: int) -> list[int]:
@@ -320,7 +321,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
         yield from by_slice(make)(batches)
 
     schema = ", ".join(f"{n} bigint" for n in names) + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pack_power_of_two(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, joined: bool = True) -> DataFrame:
