@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import commonest, staged
+from .common import commonest, small_batches, staged
 
 #: The end of a text as a word; no word is empty.
 END = b""
@@ -43,7 +43,7 @@ def is_held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
-def exchange(pairs: np.ndarray, classes: int, rounds: int = 3) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int) -> np.ndarray:
     """A class for each unit: each unit in turn goes where the class bigrams' log likelihood is largest, until none moves.
 
     pairs[u, v]: how often unit v follows unit u.  Units start in order of frequency, dealt in turn.
@@ -56,7 +56,8 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 3) -> np.ndarray:
     one = np.eye(classes)[of]
     table = one.T @ pairs @ one  # class bigrams, kept up to date
     k = np.arange(classes)
-    for _ in range(rounds):
+    moved = 1
+    while moved:  # each move raises the likelihood, so this ends
         moved = 0
         for u in order.tolist():
             one[u] = 0
@@ -75,12 +76,10 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 3) -> np.ndarray:
                 moved += 1
             one[u, of[u]] = 1
             table = each[of[u]]
-        if not moved:
-            break
     return of
 
 
-def score_texts(docs: DataFrame, classes: int = 24, units: int = 400, frequent: int = 262144, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, classes: int = 24, units: int = 1000, frequent: int = 262144, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base and model log10 probability of each whole text.
 
     Texts whose crc32(doc_id) mod folds is fold are held out; the model learns from all others.
@@ -99,7 +98,7 @@ def score_texts(docs: DataFrame, classes: int = 24, units: int = 400, frequent:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    base = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def count(batches):
         seen: Counter = Counter()
