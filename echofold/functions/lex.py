@@ -50,24 +50,30 @@ _JS = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>'(?:\\.|[
 _JS_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
 _TEMPLATE = re.compile(r"\\.|\$\{|`", re.S)
 _RUST = re.compile(r"""(?P<line>//[^\n]*)|(?P<block>/\*)|(?P<raw>\bb?c?r(?P<hashes>\#*)".*?(?:"(?P=hashes)|\Z))|(?P<string>"(?:\\.|[^"\\])*"?)|(?P<char>'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])')""", re.S)
-_TOKEN = re.compile(r"(?P<id>[A-Za-z_$][A-Za-z0-9_$]*)|(?P<num>[0-9][0-9A-Za-z_.]*)|\n|\s|(?P<punct>.)", re.S)
+_TOKEN = re.compile(r"(?P<id>[A-Za-z_$][A-Za-z0-9_$]*)|(?P<num>[0-9][0-9A-Za-z_.]*)|[\n \t\r\f\v]|(?P<punct>.)", re.S)
+
+
+_IN_CODE = re.compile(r"[{}`'\"]")
 
 
 def _template_end(code: str, at: int) -> int:
-    """Past the backtick that closes a template whose text starts at ``at``; substitutions may nest."""
-    depth = 0
-    while m := (_TEMPLATE.search(code, at) if not depth else re.compile(r"[{}`'\"]").search(code, at)):
+    """Past the backtick that closes a template whose text starts at ``at``; substitutions and templates may nest."""
+    depths = [0]  # of braces in each open template; 0 is its text
+    while m := (_IN_CODE if depths[-1] else _TEMPLATE).search(code, at):
         at = m.end()
-        if not depth:
+        if not depths[-1]:
             if m[0] == "`":
-                return at
-            depth += m[0] == "${"
+                depths.pop()
+                if not depths:
+                    return at
+            elif m[0] == "${":
+                depths[-1] = 1
         elif m[0] == "`":
-            at = _template_end(code, at)
+            depths.append(0)
         elif m[0] in "'\"":
             at = _JS.match(code, m.start()).end()
         else:
-            depth += 1 if m[0] == "{" else -1
+            depths[-1] += 1 if m[0] == "{" else -1
     return len(code)
 
 
@@ -77,23 +83,37 @@ def mask(code: str, lang: str = "js") -> str:
 
 
 def _mask_js(code: str) -> str:
-    out, at = [], 0
+    out, at, before = [], 0, ""  # before: the end of the output up to its last sign that isn't blank
     while m := _JS.search(code, at):
-        out.append(code[at : m.start()])
+        plain = code[at : m.start()]
+        out.append(plain)
+        before = _tail(before, plain)
         end = m.end()
         if m["comment"]:
             out.append(_blank(m[0]))
         elif m["slash"]:
-            found = _JS_REGEX.match(code, m.start()) if _regex_may_start("".join(out)[-200:]) else None
+            found = _JS_REGEX.match(code, m.start()) if _regex_may_start(before) else None
             out.append("0" if found else "/")
             end = found.end() if found else end
+            before = out[-1]
         else:
             end = _template_end(code, end) if m["template"] else end
             out.append(_literal(code[m.start() : end]))
+            before = _tail(before, "0")
         at = end
     return "".join(out) + code[at:]
 
 
+def _tail(before: str, more: str) -> str:
+    """What decides about a slash after before and more: the last word, or the last sign; blanks behind a word end it."""
+    kept = more.rstrip()
+    if not kept:
+        return before + " " if more and not before.endswith(" ") else before
+    word = re.search(r"[A-Za-z0-9_$]+$", kept)
+    joined = before if word and len(word[0]) == len(kept) else ""
+    return joined + (word[0] if word else kept[-1]) + (" " if len(kept) < len(more) else "")
+
+
 def _regex_may_start(before: str) -> bool:
     before = before.rstrip()
     if word := re.search(r"[A-Za-z0-9_$]+$", before):

@@ -24,15 +24,12 @@ def body_shape(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t["kind"] == "id", "ID").when(t["kind"] == "num", "NUM").otherwise(t["v"]))
 
 
-def signed(bodies: DataFrame, k: int = 5) -> DataFrame:
-    """bodies (id, words, ...) with shingles (hashes, ascending), n_shingles and sig; bodies without a shingle go."""
-    out = bodies.withColumn("shingles", H.shingle_hashes(F.col("words"), k)).where(F.size("shingles") > 0)
-    return out.withColumn("n_shingles", F.size("shingles")).withColumn("sig", H.minhash(F.col("shingles")))
+signed = H.signed
 
 
 def lsh_buckets(signatures: DataFrame) -> DataFrame:
     """One row per body and band: id, band, bucket."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_join(F.slice("sig", b * ROWS + 1, F.lit(ROWS)), ","))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.slice("sig", b * ROWS + 1, F.lit(ROWS)))
     return signatures.select("id", F.posexplode(bands).alias("band", "bucket"))
 
 

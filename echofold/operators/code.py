@@ -17,18 +17,42 @@ RUST_TYPES = frozenset("f32 f64 i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 us
 FUNCTIONS = "name string, file string, line int, end_line int, kind string, size int, tokens array<struct<v:string,line:int,kind:string>>"
 
 
-def functions(files: DataFrame) -> DataFrame:
-    """Every function of files (file, lang, source), with body tokens; null sources have none."""
+def scan(files: DataFrame) -> DataFrame:
+    """functions and, for a file that can't be parsed, a row with its name in file and the reason alone."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for file, lang, source in zip(pdf["file"], pdf["lang"], pdf["source"], strict=True):
-                for f in lex.extract(source or "", lang or "js"):
-                    out.append((f.name, file, f.line, f.tokens[-1].line, f.kind, len(f.tokens), [{"v": t.v, "line": t.line, "kind": t.kind} for t in f.tokens]))
-            yield pd.DataFrame(out, columns=["name", "file", "line", "end_line", "kind", "size", "tokens"])
+                try:
+                    found = lex.extract(source or "", lang or "js")
+                except Exception as e:  # noqa: BLE001  one file's failure is a row, not the job's end
+                    out.append((None, file, None, None, None, None, None, f"parse: {type(e).__name__}"))
+                    continue
+                for f in found:
+                    out.append((f.name, file, f.line, f.tokens[-1].line, f.kind, len(f.tokens), [{"v": t.v, "line": t.line, "kind": t.kind} for t in f.tokens], None))
+            yield pd.DataFrame(out, columns=["name", "file", "line", "end_line", "kind", "size", "tokens", "reason"]).astype({"line": "Int32", "end_line": "Int32", "size": "Int32"})
+
+    return files.select("file", "lang", "source").mapInPandas(run, FUNCTIONS + ", reason string")
+
+
+def functions(files: DataFrame) -> DataFrame:
+    """Every function of files (file, lang, source), with body tokens; null sources have none, nor have files that can't be parsed (see skipped_files)."""
+    return scan(files).where("reason is null").drop("reason")
+
+
+def skipped_files(files: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """file, reason of files that can't be parsed, after those that could not be read (file, reason)."""
+    lost = scan(files).where("reason is not null").select("file", "reason")
+    return lost if unread is None else unread.select("file", "reason").unionByName(lost)
+
 
-    return files.select("file", "lang", "source").mapInPandas(run, FUNCTIONS)
+def scan_counters(files: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """One row: files, functions, skipped (unread ones, and those that can't be parsed)."""
+    rows = scan(files).agg(F.count_if(F.col("reason").isNull()).alias("functions"), F.count_if(F.col("reason").isNotNull()).alias("lost"))
+    seen = files.agg(F.count(F.lit(1)).alias("files"))
+    more = files.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("unread")) if unread is None else unread.agg(F.count(F.lit(1)).alias("unread"))
+    return seen.crossJoin(rows).crossJoin(more).select("files", "functions", (F.col("lost") + F.col("unread")).alias("skipped"))  # one row each
 
 
 def idiom_shape(tokens: list[lex.Token], lang: str = "js") -> tuple[list[str], list[str | None]]:

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def windows(docs: DataFrame, size: int) -> DataFrame:
-    """First place of each distinct window in each document: key (its exact tokens), d, i.  docs has d and norm (array)."""
+    """First place of each distinct window in each document: key (the MD5 of its tokens, a space between), d, i.  docs has d and norm (array).
+
+    Windows count as equal when their 128-bit hashes are, so that no window's text is shuffled.
+    """
     n = F.size("norm")
-    every = F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.array_join(F.slice("norm", i + 1, size), "\u0001")))
+    every = F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.md5(F.array_join(F.slice("norm", i + 1, size), " "))))
     return docs.select("d", F.posexplode(every).alias("i", "key")).groupBy("key", "d").agg(F.min("i").alias("i"))
 
 

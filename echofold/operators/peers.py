@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def established(entries: DataFrame) -> DataFrame:
+    """One row: how many sockets are established, whatever the port."""
+    return entries.agg(F.count_if(F.col("state") == "ESTABLISHED").alias("established"))
+
+
 def listening(entries: DataFrame) -> DataFrame:
     """Ports with a listener."""
     return entries.where("state = 'LISTEN'").select(F.col("local_port").alias("port")).distinct()
@@ -40,7 +45,8 @@ def summarise(pairs: DataFrame, owners: DataFrame, listen: DataFrame, port: int
 
     owners: inode, pid, comm (one per inode).  An end is a server's if its local port has a
     listener, else a client's.  A process is flagged where its client ends exceed its server ends by
-    the threshold.  A connection between two owners counts once.
+    the threshold.  A connection between two owners counts once; its label is the server's side with its
+    port, then the client's.
     """
     if port is not None:
         pairs = pairs.where((F.col("local_port") == port) | (F.col("remote_port") == port))
@@ -51,9 +57,14 @@ def summarise(pairs: DataFrame, owners: DataFrame, listen: DataFrame, port: int
     totals = ends.agg(F.count_if(F.col("pid").isNotNull()).alias("attributed"), F.count_if(F.col("pid").isNull()).alias("unattributed"), F.count_if(F.col("peer_inode").isNull()).alias("external"))
     processes = ends.where("pid is not null").groupBy("pid").agg(F.min_by("comm", "seq").alias("comm"), F.count_if(~serves).alias("client_end"), F.count_if(serves).alias("server_end"), F.count_if(F.col("peer_inode").isNull()).alias("external"))
     flagged = (F.col("client_end") - F.col("server_end") >= threshold) & (F.col("client_end") >= threshold)
-    processes = processes.withColumn("flagged", flagged).orderBy(F.desc(F.col("client_end") + F.col("server_end")), F.desc(F.abs(F.col("client_end") - F.col("server_end"))), "pid")
-    label = lambda pid, comm: F.concat(F.col(comm), F.lit("["), F.col(pid), F.lit("]"))
+    processes = processes.withColumn("flagged", flagged).orderBy(F.desc(F.col("client_end") + F.col("server_end")), F.desc(F.col("client_end") - F.col("server_end")), "pid")
+    label = lambda pid, comm: F.concat(F.when(F.col(comm) != "", F.col(comm)).otherwise("?"), F.lit("("), F.col(pid), F.lit(")"))
     mine, theirs = label("pid", "comm"), label("peer_pid", "peer_comm")
-    once = ends.where("pid is not null and peer_pid is not null").select(F.least("inode", "peer_inode").alias("x"), F.greatest("inode", "peer_inode").alias("y"), F.concat_ws(" <-> ", F.least(mine, theirs), F.greatest(mine, theirs)).alias("label")).dropDuplicates(["x", "y"])
+    port_of = lambda c: F.concat(F.lit(" :"), F.col(c).cast("string"))
+    server = F.when(serves, F.concat(mine, port_of("local_port"))).otherwise(F.concat(theirs, port_of("remote_port")))
+    client = F.when(serves, theirs).otherwise(mine)
+    # of a connection's two ends the first in table order names it
+    both = ends.where("pid is not null and peer_pid is not null").select(F.least("inode", "peer_inode").alias("x"), F.greatest("inode", "peer_inode").alias("y"), "seq", F.concat(server, F.lit("  <->  "), client).alias("label"))
+    once = both.groupBy("x", "y").agg(F.min_by("label", "seq").alias("label"))
     by_owner = once.groupBy("label").agg(F.count(F.lit(1)).alias("connections")).orderBy(F.desc("connections"), "label")
     return PeerSummary(processes, by_owner, totals)

@@ -36,38 +36,97 @@ def ungated(commits: DataFrame, journal: DataFrame, keys: list[str], counts: Col
 
 
 def board_claims(lines: DataFrame) -> DataFrame:
-    """Claims in record lines (seq, value): kind (landed, reconciled, retired) and subject; prose makes none."""
+    """Claims in record lines (seq, value): kind (landed, reconciled, retired) and subject, each once with its first seq.
+
+    Landed: a line that starts with LANDED and has sha= (the last one in it); retired: a line that is the key
+    retired_branch=, blanks before it allowed; reconciled: the first line that starts with the marker
+    ``reconciled: <sha>``.  Prose makes no claim.
+    """
     v = F.col("value")
-    landed = F.regexp_extract(v, r"^LANDED\s*\|.*?\bsha=([0-9a-f]{7,40})\b", 1)
-    marker = F.regexp_extract(v, r"^RECONCILED\s*\|.*?\bhead=([0-9a-f]{7,40})\b", 1)
-    retired = F.regexp_extract(v, r"^[A-Z]+\s*\|.*?\bretired_branch=(\S+)", 1)
+    sha = "([0-9a-f]{7,40})"
+    landed = F.regexp_extract(v, f"^LANDED.*sha={sha}", 1)
+    marker = F.regexp_extract(v, f"^reconciled: {sha}", 1)
+    retired = F.regexp_extract(v, r"^\s*retired_branch=([^\s|]*)", 1)
     kinds = F.array(*(F.when(s != "", F.struct(F.lit(k).alias("kind"), s.alias("subject"))) for k, s in (("landed", landed), ("reconciled", marker), ("retired", retired))))
-    return lines.select("seq", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("c")).select("seq", "c.*")
+    found = lines.select("seq", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("c")).select("seq", "c.*")
+    once = found.where("kind <> 'reconciled'").groupBy("kind", "subject").agg(F.min("seq").alias("seq")).select("seq", "kind", "subject")
+    first = found.where("kind = 'reconciled'").groupBy("kind").agg(F.min(F.struct("seq", "subject")).alias("c")).select("c.seq", "kind", "c.subject")
+    return once.unionByName(first)
 
 
 def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
-    """sha of every commit that heads (sha) reach over parents (sha, parent), heads included, one generation a round."""
+    """sha of every commit that heads (sha) reach over parents (sha, parent), heads included.
+
+    Links are doubled each round, so a history of n generations takes log n rounds; each commit keeps links of
+    1, 2, 4, ... generations only as long as a round needs them.
+    """
     from .graph import _cut
 
+    hop = _cut(parents.where("parent is not null").select("sha", "parent").distinct())
     seen = _cut(heads.select("sha").distinct())
-    front = seen
     while True:
-        up = parents.join(front, "sha").where("parent is not null").select(F.col("parent").alias("sha")).distinct()
-        front = _cut(up.join(seen, "sha", "left_anti"))
-        if not front.limit(1).count():
-            return seen
-        seen = _cut(seen.unionAll(front))
+        up = hop.join(seen, "sha").select(F.col("parent").alias("sha"))
+        grown = _cut(seen.unionAll(up).distinct())
+        far = hop.select("sha", F.col("parent").alias("mid")).join(hop.select(F.col("sha").alias("mid"), "parent"), "mid").select("sha", "parent").distinct()
+        further = _cut(far)
+        if not further.limit(1).count():
+            return grown
+        seen, hop = grown, further
 
 
 def stale_claims(claims: DataFrame, landed: DataFrame, live_branches: DataFrame) -> DataFrame:
-    """Claims that facts contradict: landed shas that are no ancestors (landed: sha), retired branches that live (branch).
+    """Claims that facts contradict: landed or reconciled shas that are no ancestors (landed: sha), retired branches that live (branch).
 
-    A sha may be abbreviated to seven characters or more.
+    A sha may be abbreviated to seven characters or more.  Without a reconciled marker there is a row of its own,
+    kind reconciled with no subject.
     """
     short = landed.select(F.explode(F.transform(F.sequence(F.lit(7), F.length("sha")), lambda n: F.substring("sha", F.lit(1), n))).alias("subject")).distinct()
-    lost = claims.where("kind = 'landed'").join(short, "subject", "left_anti")
+    lost = claims.where("kind in ('landed', 'reconciled')").join(short, "subject", "left_anti")
     alive = claims.where("kind = 'retired'").join(live_branches.select(F.col("branch").alias("subject")).distinct(), "subject", "left_semi")
-    return lost.unionByName(alive)
+    marked = claims.agg(F.count_if(F.col("kind") == "reconciled").alias("n")).where("n = 0")
+    seq = claims.schema["seq"].dataType
+    missing = marked.select(F.lit(None).cast("string").alias("subject"), F.lit(None).cast(seq).alias("seq"), F.lit("reconciled").alias("kind"))
+    return lost.unionByName(alive).unionByName(missing)
+
+
+def is_sha(c: Column) -> Column:
+    """Whether a value is a whole sha: 40 lower-case hex digits."""
+    return F.coalesce(c.rlike("^[0-9a-f]{40}$"), F.lit(False))
+
+
+def inside(target: Column, root: Column) -> Column:
+    """Whether a path is root or lies below it; both are resolved already."""
+    base = F.regexp_replace(root, "/+$", "")
+    return (target == root) | (target == base) | F.startswith(target, F.concat(base, F.lit("/")))
+
+
+def missing_lines(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """Lines (value) that present lacks, as an ignore file's additions."""
+    return wanted.select("value").distinct().join(present.select("value"), "value", "left_anti")
+
+
+def worktrees_with(listed: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """A worktree list (path, session) after upserts and removals by path."""
+    gone = added.select("path") if removed is None else added.select("path").unionAll(removed.select("path"))
+    kept = listed.select("path", "session").join(gone.distinct(), "path", "left_anti")
+    return kept.unionByName(added.groupBy("path").agg(F.max("session").alias("session")))
+
+
+def runtime(forced: Column, harness: Column) -> Column:
+    """The runtime that a record names: forced, else the harness's, else unknown; empty values count as none."""
+    some = lambda c: F.when(F.trim(c) != "", c)
+    return F.coalesce(some(forced), some(harness), F.lit("unknown"))
+
+
+def doctor(checks: DataFrame) -> DataFrame:
+    """One row for a table of checks (check, status OK, WARN or FAIL): verdict (fail if any fails), and counts."""
+    of = lambda v: F.count_if(F.col("status") == v)
+    return checks.agg(F.when(of("FAIL") > 0, "fail").otherwise("ok").alias("verdict"), of("OK").alias("ok"), of("WARN").alias("warn"), of("FAIL").alias("fail"))
+
+
+def size_check(files: DataFrame, budget: int = 12288) -> DataFrame:
+    """Checks (check, status) that files (file, bytes) keep within a size budget."""
+    return files.select(F.concat(F.lit("size "), "file").alias("check"), F.when(F.col("bytes") > budget, "FAIL").otherwise("OK").alias("status"))
 
 
 def verdict(stale: DataFrame, can_look: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.hashes import word_grams
 from ..operators import clones, idioms, pairs, peers, records
+from ..operators.graph import _cut
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,14 +29,13 @@ def exact_name_pairs(spark, d):
 
 
 def _word_names(spark, d):
-    """Each capitalisation of a word in a document as a function of its own: the document is the file."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]{12,})"), F.lit(1)))
-    docs = _t(spark, d, "documents").where("lang = 'en'")
-    return docs.select(F.explode(found).alias("name"), F.col("doc_id").alias("file"), F.lit(1).alias("line"))
+    """Each capitalisation of a word of the documents as a function of its own: the language is the file."""
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))
+    return _t(spark, d, "documents").select(F.explode(found).alias("name"), F.col("lang").alias("file"), F.lit(1).alias("line")).distinct()
 
 
 def normalised_name_pairs(spark, d):
-    """Tier 2 alone, counted by normalised name: words that differ in case only, in two documents."""
+    """Tier 2 alone, counted by normalised name: words that differ in case only, in two languages."""
     p = pairs.normalised_name_pairs(_word_names(spark, d)).where("a.name <> b.name")
     return p.groupBy(N.normalised(F.col("a.name")).alias("key")).agg(F.count(F.lit(1)).alias("pairs"))
 
@@ -98,11 +98,11 @@ def doc_minhash(spark, d):
 
 
 def lsh_candidates(spark, d):
-    return clones.lsh_candidates(clones.lsh_buckets(clones.signed(_bodies(spark, d))))
+    return clones.lsh_candidates(_cut(clones.lsh_buckets(clones.signed(_bodies(spark, d)).select("id", "sig"))))
 
 
 def near_duplicate_pairs(spark, d):
-    s = clones.signed(_bodies(spark, d))
+    s = _cut(clones.signed(_bodies(spark, d)).select("id", "shingles", "n_shingles", "sig"))
     p = clones.judged_pairs(clones.lsh_candidates(clones.lsh_buckets(s), None), s, 0.7)
     return p.where("verdict = 'accepted'").select("a", "b", N.half_up(F.col("sim"), 2).alias("sim"))
 
@@ -117,7 +117,7 @@ def clone_counters(spark, d):
 
 
 def repeated_lines(spark, d):
-    lines = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.length("line") > 20)
+    lines = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 3")
 
 
@@ -126,19 +126,19 @@ def _words(spark, d):
 
 
 def token_document_frequency(spark, d):
-    return idioms.document_frequency(_words(spark, d), "words").where("df > 1")
+    return idioms.document_frequency(_words(spark, d), "words")
 
 
 def token_idf(spark, d):
     docs = _words(spark, d)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     freq = idioms.document_frequency(docs, "words").crossJoin(F.broadcast(n))  # one row
-    return freq.select("name", F.round(idioms.idf(F.col("n"), F.col("df")), 6).alias("idf")).where("idf < 9")
+    return freq.select("name", F.round(idioms.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 def repeated_windows(spark, d):
     docs = _words(spark, d).withColumnRenamed("words", "norm")
-    return idioms.recurring_windows(docs, 16, 3).select(F.md5(F.translate("key", "\u0001", " ")).alias("digest"), "files")
+    return idioms.recurring_windows(docs, 16, 3).select(F.col("key").alias("digest"), "files")
 
 
 def _idiom_docs(spark, d):
@@ -163,20 +163,22 @@ def benchmark_overlap(spark, d):
 
 
 def _flows(spark, d):
-    """Trade between nations in one week as sockets: the supplier's nation is local, the customer's remote."""
-    l = _t(spark, d, "lineitem").where("l_shipdate >= '1995-01-01' and l_shipdate < '1995-01-08'").select("l_orderkey", "l_suppkey")
+    """Monthly trade between nations as sockets: the supplier's nation is local, the customer's remote; the port tells month and half of the nations."""
+    l = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("m"))
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     c = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("remote"))
     s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("local"))
-    flow = l.join(o, "l_orderkey").join(c, "c_custkey").join(s, "l_suppkey").select("local", "remote").distinct()
+    flow = l.join(o, "l_orderkey").join(c, "c_custkey").join(s, "l_suppkey").select("local", "remote", "m").distinct()
     n = lambda c: F.format_string("n%02d", c)
-    return flow.select((F.col("local") * 100 + F.col("remote")).alias("seq"), n(F.col("local")).alias("local_ip"), (F.col("local") % 5).alias("local_port"), n(F.col("remote")).alias("remote_ip"), (F.col("remote") % 5).alias("remote_port"), F.lit("ESTABLISHED").alias("state"), F.concat_ws("-", n(F.col("local")), n(F.col("remote"))).alias("inode"))
+    port = lambda c: (F.col("m") * 2 + F.col(c) % 2).cast("int")
+    name = F.concat_ws("-", n(F.col("local")), n(F.col("remote")), F.col("m").cast("string"))
+    return flow.select((F.col("m") * 10000 + F.col("local") * 100 + F.col("remote")).alias("seq"), n(F.col("local")).alias("local_ip"), port("local").alias("local_port"), n(F.col("remote")).alias("remote_ip"), port("remote").alias("remote_port"), F.lit("ESTABLISHED").alias("state"), name.alias("inode"))
 
 
 def _summary(spark, d):
     flows = _flows(spark, d)
     owners = flows.select("inode", F.substring("inode", 2, 2).cast("int").alias("pid"), F.substring("inode", 1, 3).alias("comm"))
-    listen = spark.createDataFrame([(0,), (1,)], "port int")
+    listen = flows.where("local_port % 2 = 0").select(F.col("local_port").alias("port")).distinct()
     return peers.summarise(peers.pair_connections(flows), owners, listen, threshold=2)
 
 
@@ -268,26 +270,26 @@ _TIERS = f"""WITH {_NEAR}, top AS (SELECT p_name FROM part GROUP BY 1 ORDER BY c
 pairs AS ({_PAIRS}, 1 AS tier FROM part a JOIN part b ON a.p_name = b.p_name AND {_ORDERED}
 UNION ALL {_PAIRS}, 3 FROM part a JOIN near ON a.p_name = p JOIN part b ON b.p_name = q AND {_ORDERED}),
 t AS (SELECT *, a_name IN (SELECT p_name FROM top) AND b_name IN (SELECT p_name FROM top) AS ign FROM pairs)"""
-_FLOWS = """flow AS (SELECT DISTINCT s_nationkey AS l, c_nationkey AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '1995-01-08'),
-ends AS (SELECT f.l, f.r, format('n{:02d}-n{:02d}', f.l, f.r) AS inode, CASE WHEN g.l IS NULL THEN NULL ELSE format('n{:02d}-n{:02d}', g.l, g.r) END AS peer_inode, f.l % 5 IN (0, 1) AS serves FROM flow f LEFT JOIN flow g ON g.l = f.r AND g.r = f.l)"""
+_FLOWS = """flow AS (SELECT DISTINCT s_nationkey AS l, c_nationkey AS r, year(l_shipdate) * 12 + month(l_shipdate) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+ends AS (SELECT f.l, f.r, f.m, format('n{:02d}-n{:02d}-{}', f.l, f.r, f.m) AS inode, CASE WHEN g.l IS NULL THEN NULL ELSE format('n{:02d}-n{:02d}-{}', g.l, g.r, g.m) END AS peer_inode, f.l % 2 = 0 AS serves FROM flow f LEFT JOIN flow g ON g.l = f.r AND g.r = f.l AND g.m = f.m)"""
 _DAYS = "days AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, bool_or(event_type = 'purchase') AS bought FROM events GROUP BY ALL)"
 
 ORACLE = {
     "exact_name_pairs": f"{_PAIRS}, 1 AS tier FROM part a JOIN part b ON a.p_name = b.p_name AND {_ORDERED}",
     "near_name_pairs": f"WITH {_NEAR} {_PAIRS}, 3 AS tier FROM part a JOIN near ON a.p_name = p JOIN part b ON b.p_name = q AND {_ORDERED}",
-    "normalised_name_pairs": "WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) AS w FROM documents WHERE lang = 'en') SELECT lower(a.w) AS key, count(*) AS pairs FROM n a JOIN n b ON lower(a.w) = lower(b.w) AND a.w <> b.w AND a.doc_id < b.doc_id GROUP BY 1",
+    "normalised_name_pairs": "WITH n AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) SELECT lower(a.w) AS key, count(*) AS pairs FROM n a JOIN n b ON lower(a.w) = lower(b.w) AND a.w <> b.w AND a.lang < b.lang GROUP BY 1",
     "tier_counts": f"{_TIERS} SELECT tier, count(*) FILTER (NOT ign) AS kept, count(*) FILTER (ign) AS ignored FROM t GROUP BY 1",
     "ignored_breakdown": f"{_TIERS} SELECT CASE WHEN a_name = b_name THEN a_name ELSE a_name || ' / ' || b_name END AS label, count(*) AS pairs FROM t WHERE ign GROUP BY 1",
     "exact_duplicate_docs": "SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc, count(DISTINCT source) AS sources FROM documents GROUP BY 1 HAVING count(*) > 1",
     "doc_shingles": f"SELECT doc_id, len(w) AS n_words, CASE WHEN len(w) < 5 THEN 0 ELSE len(list_distinct({_GRAMS})) END AS n_shingles FROM (SELECT doc_id, {_WORDS} AS w FROM documents)",
-    "repeated_lines": "SELECT line, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 20 GROUP BY 1 HAVING count(*) >= 3",
-    "token_document_frequency": f"SELECT name, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS name FROM documents) GROUP BY 1 HAVING count(*) > 1",
-    "token_idf": f"SELECT * FROM (SELECT name, round(log2((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS name FROM documents) GROUP BY 1) WHERE idf < 9",
+    "repeated_lines": "SELECT line, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1 HAVING count(*) >= 3",
+    "token_document_frequency": f"SELECT name, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS name FROM documents) GROUP BY 1",
+    "token_idf": f"SELECT name, round(log2((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS name FROM documents) GROUP BY 1",
     "repeated_windows": f"WITH g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 14, 1)), lambda i: md5(array_to_string(w[i:i+15], ' ')))) AS digest FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 16) SELECT digest, count(*) AS files FROM g GROUP BY 1 HAVING count(*) >= 3",
     "benchmark_overlap": f"WITH a AS (SELECT DISTINCT doc_id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 5), b AS (SELECT DISTINCT item_id, unnest({_GRAMS}) AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 5) SELECT doc_id, item_id, count(*) AS windows FROM a JOIN b USING (g) GROUP BY ALL",
     "peer_pairs": f"WITH {_FLOWS} SELECT inode, peer_inode FROM ends",
     "peer_asymmetry": f"WITH {_FLOWS} SELECT l AS pid, format('n{{:02d}}', l) AS comm, count(*) FILTER (NOT serves) AS client_end, count(*) FILTER (serves) AS server_end, count(*) FILTER (peer_inode IS NULL) AS external, count(*) FILTER (NOT serves) - count(*) FILTER (serves) >= 2 AND count(*) FILTER (NOT serves) >= 2 AS flagged FROM ends GROUP BY l",
-    "peer_connections": f"WITH {_FLOWS} SELECT format('n{{:02d}}[{{}}]', least(l, r), least(l, r)) || ' <-> ' || format('n{{:02d}}[{{}}]', greatest(l, r), greatest(l, r)) AS label, count(*) AS connections FROM ends WHERE peer_inode IS NOT NULL AND l <= r GROUP BY 1",
+    "peer_connections": f"WITH {_FLOWS}, one AS (SELECT * FROM ends WHERE peer_inode IS NOT NULL AND l <= r), sides AS (SELECT CASE WHEN serves THEN l ELSE r END AS sv, CASE WHEN serves THEN r ELSE l END AS cl, m FROM one) SELECT format('n{{:02d}}({{}}) :{{}}  <->  n{{:02d}}({{}})', sv, sv, m * 2 + sv % 2, cl, cl) AS label, count(*) AS connections FROM sides GROUP BY 1",
     "peer_totals": f"WITH {_FLOWS} SELECT count(*) AS attributed, CAST(0 AS BIGINT) AS unattributed, count(*) FILTER (peer_inode IS NULL) AS external FROM ends",
     "journal_last_event": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1",
     "journal_status_counts": "SELECT coalesce(event_type, 'malformed') AS event, count(*) AS rows FROM events GROUP BY 1",

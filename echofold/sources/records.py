@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ipaddress
 import os
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: File name endings that count as source code.
@@ -93,7 +96,8 @@ def address(text: str) -> tuple[str, int]:
 def socket_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """entries (seq, local_ip, local_port, remote_ip, remote_port, state, inode) and malformed lines of socket tables.
 
-    lines: seq, value.  The header (a line that starts with ``sl``) and blank lines are neither.
+    lines: seq, value, and optionally table.  The first line (by seq) of each table is its header; it and blank
+    lines are neither.
     """
     schema = "seq bigint, value string, local_ip string, local_port int, remote_ip string, remote_port int, state string, inode string"
 
@@ -102,7 +106,7 @@ def socket_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = []
             for seq, value in zip(pdf["seq"], pdf["value"], strict=True):
                 fields = (value or "").split()
-                if not fields or fields[0] == "sl":
+                if not fields:
                     continue
                 try:
                     if len(fields) < 10:
@@ -113,15 +117,76 @@ def socket_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
                     out.append((seq, value, None, None, None, None, None, None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"local_port": "Int32", "remote_port": "Int32"})
 
-    rows = lines.select(F.col("seq").cast("bigint"), "value").mapInPandas(parse, schema)
+    named = lines if "table" in lines.columns else lines.withColumn("table", F.lit(""))
+    heads = named.groupBy("table").agg(F.min("seq").alias("seq"))
+    body = named.join(F.broadcast(heads), ["table", "seq"], "left_anti")  # one row a table
+    rows = body.select(F.col("seq").cast("bigint"), "value").mapInPandas(parse, schema)
     return rows.where("inode is not null").drop("value"), rows.where("inode is null").select("seq", "value")
 
 
+def socket_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines (table, seq, value) of several socket tables in the order given; missing tables are left out, and none at all is an error."""
+    rows = []
+    for path in paths:  # a kernel's tables are small and local to one machine
+        try:
+            with open(path, encoding="utf-8", errors="replace") as f:
+                rows += [(path, line) for line in f.read().split("\n")]
+        except OSError:
+            continue
+    if not rows:
+        raise FileNotFoundError(f"no socket table can be read: {', '.join(paths)}")
+    return spark.createDataFrame([(t, i, v) for i, (t, v) in enumerate(rows)], "table string, seq bigint, value string")
+
+
+def process_owners(spark: SparkSession, root: str = "/proc") -> tuple[DataFrame, dict[str, int]]:
+    """owners (seq, inode, pid, comm) of a process directory, one row for each socket of each process, and counts: sockets and unreadable processes."""
+    rows, unreadable = [], 0
+    for pid in (n for n in os.listdir(root) if n.isdigit()):
+        try:
+            links = os.listdir(os.path.join(root, pid, "fd"))
+        except OSError:  # another user's process, or one that has ended
+            unreadable += 1
+            continue
+        try:
+            with open(os.path.join(root, pid, "comm"), encoding="utf-8", errors="replace") as f:
+                comm = f.read().strip()
+        except OSError:
+            comm = ""
+        for link in links:
+            with contextlib.suppress(OSError):
+                if m := re.fullmatch(r"socket:\[(\d+)\]", os.readlink(os.path.join(root, pid, "fd", link))):
+                    rows.append((len(rows), m[1], int(pid), comm))
+    owners = spark.createDataFrame(rows, "seq bigint, inode string, pid bigint, comm string")
+    return owners, {"sockets": len(rows), "unreadable": unreadable}
+
+
 def first_owners(owners: DataFrame) -> DataFrame:
     """inode, pid, comm: of several owners of an inode the first by seq."""
     return owners.groupBy("inode").agg(F.min_by(F.struct("pid", "comm"), "seq").alias("o")).select("inode", "o.pid", "o.comm")
 
 
+def record_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Trimmed lines (value) that aren't blank; none where there is no such file."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        lines = spark.createDataFrame([], "value string")
+    return lines.select(F.trim("value").alias("value")).where("value <> ''")
+
+
+def without_frontmatter(text: Column) -> Column:
+    """A Markdown text without the block between --- lines that it starts with."""
+    return F.regexp_replace(text, r"^---\r?\n(?s:.*?)\r?\n---[ \t]*(\r?\n|$)", "")
+
+
+def filled_prompt(text: Column, arguments: Column) -> Column:
+    """A prompt with its placeholders filled from an array: $ARGUMENTS with all, $1 to $9 with one each (empty if missing)."""
+    out = F.replace(text, F.lit("$ARGUMENTS"), F.array_join(arguments, " "))
+    for i in range(1, 10):
+        out = F.replace(out, F.lit(f"${i}"), F.coalesce(F.get(arguments, F.lit(i - 1)), F.lit("")))
+    return out
+
+
 JOURNAL = "ts string, event string, runtime string, session string, tier string, exit int, sha string, branch string, repo string, log string, lock string, duration_s int"
 
 

@@ -35,3 +35,13 @@ def test_tokens():
     assert [(x.v, x.line, x.kind) for x in t[:3]] == [("a1", 1, "id"), ("=", 1, "punct"), ("0x1f", 1, "num")]
     assert len(t) == 5 and t[-1].line == 2
     assert lex.shape(tuple(t[:3])) == ["ID", "=", "NUM"]
+
+
+def test_slash_after_a_long_comment_divides():
+    assert lex.mask(f"a /* {'c' * 250} */ / b / c").endswith("/ b / c")
+    assert lex.mask("return /x/ + a\n / b") == "return 0 + a\n / b" and lex.mask("f = /* c */ /x/g") == "f =         0"
+
+
+def test_deep_templates_and_wide_spaces():
+    assert lex.mask("`${" * 3000) == "0" and lex.mask("`a${ `b${c}` + {} }` / d / e") == "0 / d / e"
+    assert [t.v for t in lex.tokenise("a\u00a0b \x0b\x0cc")] == ["a", "\u00a0", "b", "c"]

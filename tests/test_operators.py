@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from echofold.functions import hashes
 from echofold.operators import clones, idioms, pairs, peers, records
 from echofold.operators.graph import connected_components
 
@@ -82,7 +85,8 @@ def test_peers(spark):
     assert {(r.inode, r.peer_inode) for r in p.collect()} == {("111", "222"), ("222", "111"), ("333", None)}
     s = peers.summarise(p, owners, peers.listening(e), threshold=2)
     assert [(r.pid, r.client_end, r.server_end, r.external, r.flagged) for r in s.processes.collect()] == [(2000, 2, 0, 1, True), (1000, 0, 1, 0, False)]
-    assert [tuple(r) for r in s.pairs.collect()] == [("cli[2000] <-> srv[1000]", 1)]
+    assert [tuple(r) for r in s.pairs.collect()] == [("srv(1000) :3080  <->  cli(2000)", 1)]
+    assert peers.established(e).first().established == 3
     assert peers.summarise(p, owners, peers.listening(e), port=9999).processes.count() == 0
 
 
@@ -95,9 +99,69 @@ def test_records(spark):
     parents = spark.createDataFrame([("c" * 40, "b" * 40), ("b" * 40, "a" * 40), ("f" * 40, "e" * 40)], "sha string, parent string")
     seen = records.ancestors(parents, spark.createDataFrame([("c" * 40,)], "sha string"))
     assert {r.sha[0] for r in seen.collect()} == {"a", "b", "c"}
-    lines = spark.createDataFrame([(1, "LANDED | sha=" + "a" * 7), (2, "LANDED | sha=" + "e" * 9), (3, "we retired branch x"), (4, "DONE | retired_branch=live")], "seq int, value string")
+    text = ["prose reconciled: " + "a" * 9, "LANDED 2026-01-01 | x | sha=" + "a" * 7, "LANDED sha=" + "e" * 9, "we retired branch x", "  retired_branch=live|more", "retired_branch=gone", "see retired_branch=live2", "LANDED again sha=" + "e" * 9, "reconciled: " + "b" * 12, "reconciled: " + "f" * 12]
+    lines = spark.createDataFrame(list(enumerate(text)), "seq int, value string")
     claims = records.board_claims(lines)
-    stale = records.stale_claims(claims, seen, spark.createDataFrame([("live",)], "branch string"))
+    assert sorted((r.kind, r.subject) for r in claims.collect()) == [("landed", "a" * 7), ("landed", "e" * 9), ("reconciled", "b" * 12), ("retired", "gone"), ("retired", "live")]
+    live = spark.createDataFrame([("live",), ("live2",)], "branch string")
+    stale = records.stale_claims(claims, seen, live)
     assert {(r.kind, r.seq) for r in stale.collect()} == {("landed", 2), ("retired", 4)}
+    unmarked = records.stale_claims(claims.where("kind <> 'reconciled'"), seen, live)
+    assert {(r.kind, r.subject) for r in unmarked.collect()} == {("landed", "e" * 9), ("retired", "live"), ("reconciled", None)}
     assert records.verdict(stale).first().verdict == "stale"
     assert records.verdict(stale, can_look=False).first().verdict == "cannot-look"
+
+
+def test_ancestors_of_a_long_history(spark):
+    n = 40
+    parents = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(1, n)] + [("c30", "d1"), ("d1", "d0"), ("x1", "x0"), ("c0", None)], "sha string, parent string")
+    got = {r.sha for r in records.ancestors(parents, spark.createDataFrame([("c35",)], "sha string")).collect()}
+    assert got == {f"c{i}" for i in range(36)} | {"d0", "d1"}
+
+
+def test_small_record_tools(spark):
+    row = spark.createDataFrame([("a" * 40, "/w/repo/src", "/w/repo/", "/w/repository")], "sha string, t string, r string, u string").select(
+        records.is_sha(F.col("sha")).alias("s"), records.is_sha(F.col("t")).alias("n"), records.inside(F.col("t"), F.col("r")).alias("i"), records.inside(F.col("u"), F.col("r")).alias("o"), records.runtime(F.lit(" "), F.lit("cli")).alias("rt"), records.runtime(F.lit(None), F.lit("")).alias("none")
+    ).first()
+    assert (row.s, row.n, row.i, row.o, row.rt, row.none) == (True, False, True, False, "cli", "unknown")
+    value = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    assert [r.value for r in records.missing_lines(value("a", "b", "b"), value("a")).collect()] == ["b"]
+    tree = lambda *x: spark.createDataFrame(x, "path string, session string")
+    got = records.worktrees_with(tree(("p", "1"), ("q", "1"), ("r", "1")), tree(("p", "2"), ("s", "2")), tree(("r", "")))
+    assert {tuple(r) for r in got.collect()} == {("p", "2"), ("q", "1"), ("s", "2")}
+    checks = records.size_check(spark.createDataFrame([("a", 9), ("b", 99999)], "file string, bytes int"))
+    assert records.doctor(checks).first().asDict() == {"verdict": "fail", "ok": 1, "warn": 0, "fail": 1}
+
+
+def test_candidates_with_evidence(spark):
+    ten = [str(i) for i in range(10)]
+    rows = [("load", "a", 1, 10, ten), ("load", "b", 1, 10, ten), ("load", "c", 1, 40, ten), ("load", "d", 1, 10, [f"x{i}" for i in range(10)]), ("main", "a", 2, 0, []), ("main", "b", 2, 0, [])]
+    f = spark.createDataFrame(rows, "name string, file string, line int, size int, shape_set array<string>")
+    g = pairs.group_candidates(f)
+    got = [(r.a.file, r.b.file, r.status, r.text) for r in g.pairs.withColumn("text", pairs.evidence_text()).where("not is_ignored").orderBy(*pairs.report_order()).collect()]
+    assert got[0][:3] == ("a", "b", "confirmed") and got[0][3].endswith("(confirmed early)")
+    assert [x[2] for x in got] == ["confirmed"] + ["ruled-out-size"] * 3 + ["ruled-out-disjoint"] * 2
+    empty = g.pairs.where("is_ignored").orderBy(*pairs.ignored_order()).first()
+    assert (empty.status, empty.sim, empty.size_ratio) == ("ruled-out-size", None, 0.0)
+    c = g.counts.first()
+    assert (c.pairs, c.confirmed, c.pruned_size, c.pruned_disjoint, c.shape_computations) == (7, 1, 4, 2, 3)
+    assert pairs.prune_percentages(g.counts).first().confirmed_percent == 14.3
+    assert [r.file for r in f.orderBy(*pairs.function_order()).collect()] == ["a", "a", "b", "b", "c", "d"]
+
+
+def test_gram_sets_match_the_plain_hashes():
+    rng = random.Random(2)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["a", "bé", "😀x", "cc", "word"]) for _ in range(rng.randint(0, 40))) for _ in range(8)]
+        flat, counts = hashes.gram_sets(texts, 3)
+        at = 0
+        for t, n in zip(texts, counts.tolist(), strict=True):
+            w = t.split()
+            want = sorted({hashes.fnv1a(" ".join(w[i : i + 3])) for i in range(len(w) - 2)})
+            assert flat[at : at + n].tolist() == want
+            at += n
+        some = counts[counts > 0]
+        sig, at = hashes.signatures(flat, some), 0
+        for s, n in zip(sig, some.tolist(), strict=True):
+            assert s.tolist() == hashes.signature(flat[at : at + n]).tolist()
+            at += n
