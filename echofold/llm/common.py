@@ -77,12 +77,12 @@ def commonest(counts: DataFrame, c: str, n: int) -> DataFrame:
     return counts.where(F.lit(False) if bound is None else level >= bound)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of a slice stay near SLICE_CHARS bytes; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the texts of a slice stay near so many bytes; a longer text stands alone."""
     lengths = [n or 0 for n in pa.compute.binary_length(batch.column(text)).to_pylist()]
     start = total = 0
     for i, n in enumerate(lengths):
-        if total and total + n > SLICE_CHARS:
+        if total and total + n > chars:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -108,14 +108,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def by_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text"):
+def by_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str = "text", chars: int = SLICE_CHARS):
     """A mapInArrow function that applies make to bounded slices of each batch."""
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, chars):
                 out = make(part)
                 if out is not None and out.num_rows:
                     yield out

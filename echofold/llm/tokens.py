@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import cached_property
 from hashlib import sha256
 from itertools import islice
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_slice, few, small_batches, staged
+from .common import by_slice, few, give_back, small_batches, staged
 
 _SPECIAL = b"<|"
 #: ASCII punctuation that is a pre-token of its own after letters; an apostrophe may open a contraction.
@@ -60,7 +61,7 @@ class TreeEncoder:
     Pieces that hold a special token's opening go to the library whole.
     """
 
-    def __init__(self, path: str, leaf: int = 256, window: int = 4, cached: int = 400_000):
+    def __init__(self, path: str, leaf: int = 256, window: int = 4, cached: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path) as f:
@@ -245,9 +246,18 @@ def _agreed(left: list, right: list, middle: list, i: int, j: int, m: int) -> li
     return left[:from_left] + middle[x:y] + right[from_right:] if x <= y else None
 
 
+#: How many characters one call of the library gets: its own records of tokens are many times their size.
+_AT_ONCE = 1_000_000
 _ENCODERS: dict[tuple[str, int], TreeEncoder] = {}
 
 
+def released(batches: Iterator) -> Iterator:
+    """batches; behind the last one the worker's encoder goes, which else an idle worker would hold through other stages."""
+    yield from batches
+    _ENCODERS.clear()
+    give_back()
+
+
 def encoder(path: str, leaf: int = 256) -> TreeEncoder:
     """One encoder for each file and worker process, with as many threads as the task has processors."""
     if (path, leaf) not in _ENCODERS:
@@ -280,7 +290,7 @@ def bpe_round_trip(docs: DataFrame, path: str, leaf: int = 256, id_col: str = "d
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int64()), pa.string()] if tokens else [])]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slice(make), schema)
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: released(by_slice(make, chars=_AT_ONCE)(batches)), schema)
 
 
 def binary_lengths(n: int, capacity: int) -> list[int]:
@@ -318,7 +328,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
             arrays = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             return pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 
-        yield from by_slice(make)(batches)
+        yield from released(by_slice(make, chars=_AT_ONCE)(batches))
 
     schema = ", ".join(f"{n} bigint" for n in names) + ", ids binary" * keep_ids
     return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
