@@ -457,25 +457,86 @@ def test_exchange_reaches_a_fixed_point():
             assert likelihood(other) <= best + 1e-6
 
 
+def brute_brown(rows, classes, units, own):
+    """Scores by plain loops over whole texts; own: the words with units, most frequent first."""
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1
+    texts = [(d, [w.encode() for w in (t or "").lower().split()] + [brown.END]) for d, t in rows]
+    train = [t for d, t in texts if not held(d)]
+    count = Counter(w for t in train for w in t)
+    unit = {w: 26 + i for i, w in enumerate(own)} | {brown.END: 25}
+    of_unit = lambda w: unit.get(w, brown.bucket(w) if w else 25)
+    pairs = np.zeros((26 + len(own), 26 + len(own)))
+    for t in train:
+        for x, y in zip([brown.END, *t], t, strict=False):
+            pairs[of_unit(x), of_unit(y)] += 1
+    of = brown.exchange(pairs, classes)
+    first = lambda w: int(of[of_unit(w)])
+    near = np.full((classes, classes), 0.5)
+    for x in range(len(pairs)):
+        for y in range(len(pairs)):
+            near[of[x], of[y]] += pairs[x, y]
+    weight = lambda x, y, k: round((np.log(near[x, y]) - np.log((near[k].sum() + near[:, k].sum()) / 2)) * 2**20)
+    gain = {w: [0] * classes for w in count if w not in unit}
+    for t in train:
+        for i, w in enumerate(t):
+            if w in gain:
+                x, y = first(t[i - 1] if i else brown.END), first(t[i + 1])
+                for k in range(classes):
+                    gain[w][k] += weight(x, k, k) + weight(k, y, k)
+    chosen = {w: int(np.argmax(g)) for w, g in gain.items()}
+    cls = lambda w: chosen.get(w, first(w))
+    follow = np.zeros((classes, classes))
+    for t in train:
+        for x, y in zip([brown.END, *t], t, strict=False):
+            follow[cls(x), cls(y)] += 1
+    tokens, kinds = Counter(), Counter()
+    for w, n in count.items():
+        tokens[cls(w)] += n
+        kinds[cls(w)] += 1
+    out = []
+    for d, t in texts:
+        s = 0.0
+        for x, y in zip([brown.END, *t], t, strict=False):
+            a, b = cls(x), cls(y)
+            s += np.log10((follow[a, b] + 0.5) / (follow[a].sum() + 0.5 * classes)) + np.log10((count[y] + 0.5) / (tokens[b] + 0.5 * (kinds[b] + 1)))
+        out.append((d, s))
+    return out
+
+
 def test_brown(spark):
     rng = random.Random(4)
     nouns, verbs = [f"noun{i}" for i in range(20)], [f"verb{i}" for i in range(20)]
-    rows = [(i, " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(20))) for i in range(300)] + [(1000, None), (1001, "unheard words"), (None, "noun1")]
-    docs = spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string")
-    for frequent in (10, 1000):  # most words joined, or all broadcast
-        got = brown.score_texts(docs, classes=4, units=50, frequent=frequent).collect()
+    rows = [(i, " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(rng.randrange(1, 40)))) for i in range(300)] + [(1000, None), (1001, "unheard words twice unheard"), (None, "noun1"), (7, "Once \u00e9tait rare rarer rarest noun1"), (1002, "Rare ever rarest")]
+    rows += [(2000 + i, "the cat the dog a cat x y z " * 3 + "long " * (3000 if i == 1 else i)) for i in range(4)]
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit("x")).withColumn("class", F.lit(1)).withColumn("uid", F.lit(None).cast("string"))
+    for units, frequent in ((50, 10), (8, 30), (8, 1000), (500, 1000)):  # most words joined, or all broadcast
+        got = brown.score_texts(docs, classes=4, units=units, frequent=frequent).collect()
         held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
-        seen = Counter(w for d, x in [*rows, rows[0]] if not held(d) for w in [*(x or "").split(), ""])
+        seen = Counter(w for d, x in rows if not held(d) for w in [*(x or "").lower().split(), ""])
         n, v = sum(seen.values()), len(seen)
+        top = sorted(seen.values(), reverse=True)
+        fits = [c for c in set(top) if sum(x >= c for x in top) <= frequent]  # ties at the edge are left out together
+        own = sorted((w.encode() for w, c in seen.items() if w and fits and c >= min(fits)), key=lambda w: (-seen[w.decode()], brown.word_hash(w)))[:units]
+        want = brute_brown(rows, 4, units, own)
+        order = lambda x: (x[0] is None, x[0] or 0, x[1])
+        assert len(got) == len(rows)
+        for (d, s), (e, r) in zip(sorted(want, key=order), sorted(((r.doc_id, r.score) for r in got), key=order), strict=True):
+            assert d == e and abs(s - r) < 1e-6 * max(1, abs(s))
+        lengths = Counter((d, len((x or "").split()) + 1) for d, x in rows)
+        assert Counter((r.doc_id, r.n_tokens) for r in got) == lengths
         text = dict(rows)
-        assert len(got) == len(rows) + 1
         for r in got:
-            own = [*(text[r.doc_id] or "").split(), ""]
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(own), sum(seen[w] > 0 for w in own), n)
-            assert abs(r.base_score - sum(np.log10((seen[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)) < 1e-6
-        better = [r.score > r.base_score for r in got if r.held_out and r.n_tokens > 10]
-        assert better and all(better)  # classes see that nouns and verbs alternate
+            if r.doc_id == 7:
+                continue  # two rows of one id
+            own_words = [*(text[r.doc_id] or "").lower().split(), ""]
+            assert (r.held_out, r.n_known, r.train_tokens) == (held(r.doc_id), sum(seen[w] > 0 for w in own_words), n)
+            assert abs(r.base_score - sum(np.log10((seen[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own_words)) < 1e-6
+        better = [r.score > r.base_score for r in got if r.held_out and r.doc_id < 300 and r.n_tokens > 30]
+        assert better and sum(better) > 0.9 * len(better)  # classes see that nouns and verbs alternate
     assert brown.score_texts(empty(spark)).count() == 0
+    alone = brown.score_texts(spark.createDataFrame([(1, "x y")], "doc_id bigint, text string").where(F.crc32(F.lit("1")) > -1), fold=zlib.crc32(b"1") % 5).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in alone] == [(True, 3, 0, 0)]
 
 
 def test_pipeline_near_duplicates(spark):
