@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def commonest(counts: DataFrame, c: str, n: int) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice stay near so many bytes; a longer text stands alone."""
-    lengths = [n or 0 for n in pa.compute.binary_length(batch.column(text)).to_pylist()]
+    lengths = [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()]
     start = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > chars:
@@ -112,8 +113,6 @@ def by_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str
     """A mapInArrow function that applies make to bounded slices of each batch."""
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part in slices(batch, text, chars):
                 out = make(part)
