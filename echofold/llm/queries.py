@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repetition_rules(table(spark, sf_dir, "documents"))
+    found = quality.repetition_rules(table(spark, sf_dir, "documents"), max_longest=100)
+    return found.withColumn("over_long_repeat", F.col("longest_repeat") > 100).drop("longest_repeat")
 
 
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,38 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_secret_forest, op3_warc_segments, op4_url_digests, op5_jaccard_tiles, op6_bpe_tree, op7_packing, op8_prefix_forest, op9_license_phrases, op10_brown_classes)}
 
+#: Words and their repeats: a window that occurs twice in a text covers its places.
+_OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+k(n) AS (VALUES (3), (10), (101)),
+p AS (SELECT r, n, unnest(range(greatest(len(ws) - n + 1, 0))) AS i, ws FROM w, k),
+g AS (SELECT r, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS s FROM p),
+twice AS (SELECT r, n, i FROM (SELECT r, n, i, count(*) OVER (PARTITION BY r, n, s) AS c FROM g) WHERE c > 1),
+places AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS i FROM twice),
+covered AS (SELECT r, count(*) FILTER (n = 3) AS c3, count(*) FILTER (n = 10) AS c10, count(*) FILTER (n = 101) AS c101 FROM places GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+f AS (SELECT w.r, doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c3, 0) AS n_repeat_words, coalesce(c10, 0) AS covered_words, coalesce(c101, 0) > 0 AS over_long_repeat
+  FROM w JOIN lines USING (r) LEFT JOIN covered USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, covered_words, over_long_repeat,
+  NOT base_failed AND covered_words <= CAST(0.3 AS DOUBLE) * n_words AND NOT over_long_repeat AS kept
+FROM b"""
+
+_OP5 = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))) END AS gs FROM w),
+s AS (SELECT r, len(gs) AS n, unnest(gs) AS s FROM g),
+links AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(r, x) AS (SELECT r, r FROM g UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.x = links.a)
+SELECT g.doc_id, len(any_value(g.gs)) AS n_shingles, min(h.doc_id) AS component_id
+FROM g JOIN reach USING (r) JOIN g h ON h.r = reach.x GROUP BY g.r, g.doc_id"""
+
 ORACLE: dict[str, str] = {
+    "op1_suffix_repetition": _OP1,
+    "op5_jaccard_tiles": _OP5,
     "op3_warc_segments": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 q AS (SELECT page_id, b, min(page_id) OVER (PARTITION BY b) AS f FROM p),
