@@ -274,7 +274,81 @@ _FLOWS = """flow AS (SELECT DISTINCT s_nationkey AS l, c_nationkey AS r, year(l_
 ends AS (SELECT f.l, f.r, f.m, format('n{:02d}-n{:02d}-{}', f.l, f.r, f.m) AS inode, CASE WHEN g.l IS NULL THEN NULL ELSE format('n{:02d}-n{:02d}-{}', g.l, g.r, g.m) END AS peer_inode, f.l % 2 = 0 AS serves FROM flow f LEFT JOIN flow g ON g.l = f.r AND g.r = f.l AND g.m = f.m)"""
 _DAYS = "days AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, bool_or(event_type = 'purchase') AS bought FROM events GROUP BY ALL)"
 
+
+def _signed_sql(least: int = 5) -> str:
+    """Bodies of at least so many words, their distinct hashed 5-grams, MinHash values and band buckets."""
+    return f"""
+body AS (SELECT doc_id, lang, source, {_WORDS} AS w FROM documents),
+own AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM body WHERE len(w) >= {max(least, 5)}),
+code AS (SELECT g, list_transform(string_split(g, ''), lambda c: CAST(unicode(c) AS UBIGINT)) AS cs FROM (SELECT DISTINCT g FROM own)),
+hashed AS (SELECT g, list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), cs), lambda x, y: (xor(x, y) * CAST(16777619 AS UBIGINT)) & CAST(4294967295 AS UBIGINT)) AS h FROM code),
+grams AS (SELECT DISTINCT doc_id, h FROM own JOIN hashed USING (g)),
+n AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+m0 AS (SELECT doc_id, i, xor(h, CAST((i * 2654435761) & 4294967295 AS UBIGINT)) AS x FROM grams, range(1, 65) r(i)),
+m1 AS (SELECT doc_id, i, (xor(x, x >> 16) * CAST(2246822507 AS UBIGINT)) & CAST(4294967295 AS UBIGINT) AS x FROM m0),
+m2 AS (SELECT doc_id, i, (xor(x, x >> 13) * CAST(3266489909 AS UBIGINT)) & CAST(4294967295 AS UBIGINT) AS x FROM m1),
+sig AS MATERIALIZED (SELECT doc_id, i, min(xor(x, x >> 16)) AS m FROM m2 GROUP BY 1, 2),
+bucket AS MATERIALIZED (SELECT doc_id, (i - 1) // 4 AS band, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS b FROM sig GROUP BY 1, 2),
+sized AS (SELECT band, b, count(*) AS members FROM bucket GROUP BY 1, 2 HAVING count(*) > 1)"""
+
+
+def _judged_sql(least: int = 5, largest: int | None = 60) -> str:
+    few = "" if largest is None else f" WHERE members <= {largest}"
+    return f"""{_signed_sql(least)},
+few AS (SELECT doc_id, band, b FROM bucket JOIN sized USING (band, b){few}),
+near AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM few x JOIN few y USING (band, b) WHERE x.doc_id < y.doc_id),
+shared AS (SELECT a, b, count(*) AS common FROM near JOIN grams x ON x.doc_id = a JOIN grams y ON y.doc_id = near.b AND y.h = x.h GROUP BY 1, 2),
+judged AS MATERIALIZED (SELECT a, near.b, least(x.n, y.n) / greatest(x.n, y.n) AS ratio, coalesce(common, 0) / (x.n + y.n - coalesce(common, 0)) AS sim
+  FROM near JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = near.b LEFT JOIN shared USING (a, b))"""
+
+
+_CLUSTERS = f"""WITH RECURSIVE {_judged_sql()},
+links AS (SELECT a, b FROM judged WHERE ratio >= 0.7 AND sim >= 0.7),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(x, y) AS (SELECT DISTINCT a, a FROM ways UNION SELECT x, b FROM reach JOIN ways ON y = a),
+root AS (SELECT x AS doc_id, min(y) AS root FROM reach GROUP BY 1),
+least AS (SELECT root, min(sim) AS s FROM judged JOIN root ON doc_id = a WHERE ratio >= 0.7 AND sim >= 0.7 GROUP BY 1)
+SELECT root AS cluster_id, count(*) AS n_members, count(DISTINCT source) AS files, count(*) AS copies, floor(avg(len(w)) + 0.5)::INT AS size, floor(any_value(s) * 100 + 0.5) / 100 AS min_sim, count(DISTINCT lang) = 1 AS same_name
+FROM root JOIN body USING (doc_id) JOIN least USING (root) GROUP BY root"""
+
+_CLONE_COUNTERS = f"""WITH {_judged_sql(40)},
+v AS (SELECT count(*) AS candidate_pairs, CAST(0 AS BIGINT) AS nested, count(*) FILTER (ratio < 0.7) AS ruled_out_size, count(*) FILTER (ratio >= 0.7) AS verified, count(*) FILTER (ratio >= 0.7 AND sim >= 0.7) AS accepted FROM judged)
+SELECT (SELECT count(*) FROM body) AS functions, (SELECT count(*) FROM body WHERE len(w) < 40) AS too_small, (SELECT count(*) FROM n) AS signed, (SELECT count(*) FROM sized) AS buckets, (SELECT count(*) FROM sized WHERE members > 60) AS oversize_buckets, v.* FROM v"""
+
+#: The words of a name: a blank at each boundary, one kind of boundary after the other.
+_NAME_WORDS = r"""
+WITH names AS (SELECT p_name AS name FROM part UNION SELECT event_type FROM events),
+cut AS (SELECT name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g') AS c FROM names),
+w AS (SELECT name, list_transform(regexp_extract_all(c, '[^_$\s]+'), lambda x: lower(x)) AS ws FROM cut),
+k AS (SELECT name, ws, list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains({AFFIXES}, ws[i])) AS kept FROM w),
+s AS (SELECT name, ws, CASE WHEN len(ws) = 0 THEN ws WHEN len(kept) = 0 THEN ws[-1:] ELSE ws[kept[1] : kept[-1]] END AS st FROM k)
+SELECT name, array_to_string(ws, '|') AS words, array_to_string(st, '|') AS stem, array_to_string(list_sort(list_distinct(st)), '|') AS set_key FROM s""".replace("{AFFIXES}", str(list(N.AFFIXES)))
+
+#: The smaller word list is walked in order until the outcome is sure.
+_EVIDENCE = f"""
+WITH body AS (SELECT p_partkey AS line, p_name, p_brand, p_size AS size, list_filter(regexp_split_to_array(lower(concat_ws(' ', p_name, p_type)), '\\s+'), lambda x: true) AS raw FROM part),
+first AS (SELECT line, p_name, p_brand, size, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS s FROM body),
+p AS (SELECT a.line AS a_line, b.line AS b_line, CASE WHEN len(b.s) < len(a.s) THEN b.s ELSE a.s END AS small, CASE WHEN len(b.s) < len(a.s) THEN a.s ELSE b.s END AS large, len(a.s) + len(b.s) AS total,
+  CASE WHEN greatest(a.size, b.size) = 0 THEN 0.0 ELSE least(a.size, b.size) / greatest(a.size, b.size) END AS ratio
+  FROM first a JOIN first b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand AND (a.p_brand, a.line) < (b.p_brand, b.line)),
+steps AS (SELECT a_line, b_line, len(small) AS n, total, unnest(range(1, len(small) + 1)) AS k, unnest(list_transform(small, lambda x: CAST(list_contains(large, x) AS INT))) AS hit FROM p WHERE ratio >= 0.5),
+walk AS (SELECT a_line, b_line, n, total, k, sum(hit) OVER (PARTITION BY a_line, b_line ORDER BY k) AS hits FROM steps),
+judged AS (SELECT *, CASE WHEN (hits + n - k) / (total - (hits + n - k)) < 0.3 THEN 'ruled-out-disjoint' WHEN k < n AND hits / (total - hits) >= 0.6 THEN 'confirmed' WHEN k = n THEN 'compared' END AS e FROM walk),
+done AS (SELECT a_line, b_line, arg_min(e, k) AS e, min(k) AS k, arg_min(hits / (total - hits), k) AS sim FROM judged WHERE e IS NOT NULL GROUP BY 1, 2),
+evidence AS (SELECT a_line, b_line, coalesce(e, 'ruled-out-size') AS status, CASE WHEN e IN ('confirmed', 'compared') THEN floor(sim * 100 + 0.5) / 100 END AS sim, coalesce(k, 0) AS examined, floor(ratio * 100 + 0.5) / 100 AS size_ratio FROM p LEFT JOIN done USING (a_line, b_line))
+"""
+
+_COUNTS = "count(*) AS pairs, count(*) FILTER (status = 'compared') AS compared, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'ruled-out-size') AS pruned_size, count(*) FILTER (status = 'ruled-out-disjoint') AS pruned_disjoint, CAST(coalesce(sum(examined), 0) AS BIGINT) AS examined_total"
+
 ORACLE = {
+    "name_words": _NAME_WORDS,
+    "evidence_status": f"{_EVIDENCE} SELECT * FROM evidence",
+    "evidence_counts": f"{_EVIDENCE} SELECT {_COUNTS} FROM evidence",
+    "doc_minhash": f"WITH {_signed_sql()} SELECT doc_id, n AS n_shingles, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS sig FROM sig JOIN n USING (doc_id) GROUP BY ALL",
+    "lsh_candidates": f"WITH {_judged_sql()} SELECT a, b FROM near",
+    "near_duplicate_pairs": f"WITH {_judged_sql(largest=None)} SELECT a, b, floor(sim * 100 + 0.5) / 100 AS sim FROM judged WHERE ratio >= 0.7 AND sim >= 0.7",
+    "near_duplicate_clusters": _CLUSTERS,
+    "clone_counters": _CLONE_COUNTERS,
     "exact_name_pairs": f"{_PAIRS}, 1 AS tier FROM part a JOIN part b ON a.p_name = b.p_name AND {_ORDERED}",
     "near_name_pairs": f"WITH {_NEAR} {_PAIRS}, 3 AS tier FROM part a JOIN near ON a.p_name = p JOIN part b ON b.p_name = q AND {_ORDERED}",
     "normalised_name_pairs": "WITH n AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) SELECT lower(a.w) AS key, count(*) AS pairs FROM n a JOIN n b ON lower(a.w) = lower(b.w) AND a.w <> b.w AND a.lang < b.lang GROUP BY 1",
