@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import commonest
+from .common import commonest, staged
 
 #: A candidate: a run of at least 8 such characters with a letter and a digit, not inside a longer run.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{8,}+"
@@ -61,7 +61,7 @@ def corpus_words(docs: DataFrame, n: int = 400, text_col: str = "text") -> dict[
     """The commonest words of 3 letters or more over all texts, at most n, with their counts; only these reach the driver."""
     words = docs.select(F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return {r.w: r.c for r in sorted(commonest(counts, "c", n).collect())}
+    return {r.w: r.c for r in sorted(commonest(staged(counts, "corpus-words"), "c", n).collect())}
 
 
 def features(candidate: Column, before: Column, after: Column, known: Language) -> Column:
