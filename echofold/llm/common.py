@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: How many characters of text one step of a Python worker holds at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

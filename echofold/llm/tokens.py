@@ -61,7 +61,7 @@ class TreeEncoder:
     Pieces that hold a special token's opening go to the library whole.
     """
 
-    def __init__(self, path: str, leaf: int = 256, window: int = 4, cached: int = 300_000):
+    def __init__(self, path: str, leaf: int = 256, window: int = 4, cached: int = 100_000):
         from tokenizers import Tokenizer
 
         with open(path) as f:
