@@ -165,3 +165,26 @@ def test_gram_sets_match_the_plain_hashes():
         for s, n in zip(sig, some.tolist(), strict=True):
             assert s.tolist() == hashes.signature(flat[at : at + n]).tolist()
             at += n
+
+
+def bodied(spark, seed, n):
+    rng = random.Random(seed)
+    word = lambda: [rng.choice("abcdef") for _ in range(rng.randint(0, 4))]
+    rows = [(rng.choice(["load", "save", "run"]), rng.choice(["x", "y", "z", None]), i // 2, rng.randint(0, 5), list(dict.fromkeys(word()))) for i in range(n)]
+    return spark.createDataFrame(rows, "name string, file string, line int, size int, shape_set array<string>")
+
+
+def test_evidence_by_set_is_that_of_each_pair(spark, monkeypatch):
+    f = bodied(spark, 3, 60)
+    rows = f.collect()
+    both = [(a.file, a.line, b.file, b.line, a.shape_set, a.size, b.shape_set, b.size) for a in rows for b in rows if a.name == b.name and a.file and b.file and a.file < b.file]
+    plain = spark.createDataFrame(both, "af string, al int, bf string, bl int, a_set array<string>, a_size int, b_set array<string>, b_size int")
+    judged = pairs.body_evidence(plain)
+    key = lambda rs: sorted(map(repr, map(tuple, rs)))
+    want = key(judged.select("af", "al", "bf", "bl", "status", "sim", "is_lower_bound", "examined", "size_ratio").collect())
+    for few in (100_000, 0):
+        monkeypatch.setattr(pairs, "_FEW_SETS", few)
+        got = pairs.exact_evidence(f).select("a.file", "a.line", "b.file", "b.line", "status", "sim", "is_lower_bound", "examined", "size_ratio")
+        assert key(got.collect()) == want
+    assert pairs.evidence_counts(pairs.counted_exact_evidence(f)).first() == pairs.evidence_counts(judged).first()
+    assert pairs.evidence_counts(pairs.counted_exact_evidence(f.limit(0))).first().pairs == 0
