@@ -54,7 +54,7 @@ def tier_counts(spark, d):
 
 
 def ignored_breakdown(spark, d):
-    return pairs.ignored_breakdown(pairs.name_tiers(_parts(spark, d), _ignored(spark, d)))
+    return pairs.ignored_breakdown(pairs.counted_tiers(_parts(spark, d), _ignored(spark, d)))
 
 
 def name_words(spark, d):

@@ -188,3 +188,13 @@ def test_evidence_by_set_is_that_of_each_pair(spark, monkeypatch):
         assert key(got.collect()) == want
     assert pairs.evidence_counts(pairs.counted_exact_evidence(f)).first() == pairs.evidence_counts(judged).first()
     assert pairs.evidence_counts(pairs.counted_exact_evidence(f.limit(0))).first().pairs == 0
+
+
+def test_counted_tiers_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    names = ["load", "Load_", "lod", "getUser", "userz", "user", "main", None]
+    for per_line in (1, 3):  # one name a place, then several
+        f = functions(spark, [(rng.choice(names), rng.choice(["a", "b", "c", None]), i // per_line) for i in range(50)])
+        tiers, counted = pairs.name_tiers(f, ["load", "main"]), pairs.counted_tiers(f, ["load", "main"])
+        assert sorted(map(tuple, pairs.tier_counts(counted).collect())) == sorted(map(tuple, pairs.tier_counts(tiers).collect()))
+        assert [tuple(r) for r in pairs.ignored_breakdown(counted).collect()] == [tuple(r) for r in pairs.ignored_breakdown(tiers).collect()]
