@@ -207,3 +207,13 @@ def test_first_pairs_are_the_head_of_all(spark):
     every = [tuple(r) for r in pairs.exact_name_pairs(f).orderBy(*order).collect()]
     for n in (1, 7, 100, 5000):
         assert [tuple(r) for r in pairs.first_exact_pairs(f, n).orderBy(*order).collect()] == every[:n]
+
+
+def test_a_frequent_name_is_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "_BLOCK", 4)
+    rows = [("load", "abc"[i % 3], i) for i in range(30)] + [("lode", "abc"[i % 3], 99 + i) for i in range(9)] + [("once", "a", 1)]
+    f = functions(spark, rows)
+    places = lambda p: sorted((r.a.file, r.a.line, r.b.file, r.b.line) for r in p.collect())
+    met = lambda same: sorted((x[1], x[2], y[1], y[2]) for x in rows for y in rows if x[1] < y[1] and (x[0] == y[0]) == same and (same or "once" not in (x[0], y[0])))
+    assert places(pairs.exact_name_pairs(f)) == met(True)
+    assert places(pairs.near_name_pairs(f)) == met(False)
