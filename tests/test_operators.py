@@ -217,3 +217,26 @@ def test_a_frequent_name_is_dealt_into_blocks(spark, monkeypatch):
     met = lambda same: sorted((x[1], x[2], y[1], y[2]) for x in rows for y in rows if x[1] < y[1] and (x[0] == y[0]) == same and (same or "once" not in (x[0], y[0])))
     assert places(pairs.exact_name_pairs(f)) == met(True)
     assert places(pairs.near_name_pairs(f)) == met(False)
+
+
+def test_idioms_match_brute_force_and_read_only_stretches(spark):
+    rng = random.Random(11)
+    part = [[rng.choice("abcdefgh") + str(i % 3) for i in range(30)] for _ in range(3)]
+    bodies = [[f"x{d}_{j}" for j in range(9)] + sum(([*part[rng.randrange(3)][a : a + 18], f"y{d}{a}"] for a in rng.choices(range(12), k=3)), []) for d in range(12)]
+    docs = spark.createDataFrame([(d, f"f{d:02}", w, w, list(range(1, len(w) + 1))) for d, w in enumerate([*bodies, ["only"] * 3, ["far", "off"] * 40])], "d int, file string, norm array<string>, names array<string>, lines array<int>")
+    size, least, first = 8, 3, {}
+    for d, w in enumerate(bodies):
+        for i in range(len(w) - size + 1):
+            first.setdefault(tuple(w[i : i + size]), {}).setdefault(d, i)
+    want = []
+    for at in first.values():
+        if len(at) >= least:
+            same = lambda k: all(0 <= i + k < len(bodies[d]) for d, i in at.items()) and len({bodies[d][i + k] for d, i in at.items()}) == 1  # noqa: B023, E731
+            left = next(x for x in range(99) if not same(-x - 1))
+            right = next(x for x in range(99) if not same(size + x))
+            want.append((len(at), size + left + right, sorted((d, i - left) for d, i in at.items())))
+    got = idioms.find_idioms(docs, size=size, min_files=least).runs.collect()
+    assert sorted((r.files, r.tokens, [tuple(p) for p in r.places]) for r in got) == sorted(want) and len(want) > 9
+    assert all(r.line == r.places[0].i + 1 and r.end_line == r.line + r.tokens - 1 for r in got)
+    stretches = idioms._spans(docs, size, least).collect()
+    assert {r.d for r in stretches} <= set(range(12)) and not any(t.startswith("x") for r in stretches for t in r.norm[size:-size])
