@@ -49,7 +49,7 @@ class TreeEncoder:
 
     It takes BPE files with word ends that lower-case, split by _SPLIT, and drop white space; any other file
     raises a ValueError, as its pre-tokens might cross white space.  Texts then split exactly at white space.
-    The ids of each distinct piece are kept, at most ``cached`` pieces at a time.  Pieces of up to ``leaf``
+    The ids of distinct pieces are kept; beyond ``cached`` of them the frequent ones stay.  Pieces of up to ``leaf``
     characters that are letters with punctuation behind are encoded many at once, other short ones one by one.
 
     Unsplit pieces longer than ``leaf`` are halved until their parts fit.  The parts of all pieces are encoded
@@ -98,6 +98,22 @@ class TreeEncoder:
         self.used = 0
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
+
+    def retain(self) -> None:
+        """Drop pieces seen once, and the rarer ones beyond half of ``cached``; the others need not be learnt again."""
+        kept = np.flatnonzero(self.hits > 1)
+        if len(kept) > self.cached // 2:
+            most = np.argpartition(self.hits[kept], len(kept) - self.cached // 2)[len(kept) - self.cached // 2 :]
+            kept = np.sort(kept[most])
+        names, hits = list(self.known), self.hits[kept]
+        ids, length = self.flat[_ranges(self.start[kept], self.length[kept])], self.length[kept]
+        self.forget()
+        for n in kept.tolist():
+            self.known[names[n]]
+        self.flat = np.concatenate([ids, self.flat])
+        self.used, self.length, self.start = len(ids), length, np.cumsum(length) - length
+        self.hits = hits // 2 + 1  # what was frequent long ago gives way
 
     @staticmethod
     def pieces(text: str | None) -> list[bytes]:
@@ -110,7 +126,7 @@ class TreeEncoder:
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text ends."""
         if len(self.known) > self.cached:
-            self.forget()
+            self.retain()
         at, before, place = [], len(self.known), self.known.__getitem__
         for t in texts:
             own = self.pieces(t)
@@ -119,6 +135,7 @@ class TreeEncoder:
             self.learn(list(islice(self.known, before, None)))
         counts = np.array([len(x) for x in at], np.int64)
         flat = np.concatenate(at) if at else np.zeros(0, np.int64)
+        self.hits = np.bincount(flat, minlength=len(self.known)) + np.append(self.hits, np.zeros(len(self.known) - len(self.hits), np.int64))
         lengths = self.length[flat]
         ids = self.flat[_ranges(self.start[flat], lengths)]
         return ids, np.append(0, np.cumsum(lengths))[np.cumsum(counts)]

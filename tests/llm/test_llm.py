@@ -562,3 +562,18 @@ def test_pipeline_near_duplicates(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == kept
+
+
+def test_frequent_pieces_outlast_a_full_cache():
+    import public_tokenizers
+
+    from echofold.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    small, large = tokens.TreeEncoder(path, cached=8), tokens.TreeEncoder(path)
+    texts = [f"The common words, again x{i} y{i * 7}z 123{i} and the common end." for i in range(30)]
+    for t in texts:
+        assert small.encode(t).tolist() == large.full.encode(t, add_special_tokens=False).ids
+        assert len(small.known) <= 8 + 11
+    small.retain()
+    assert b"common" in small.known and b"x3" not in small.known
