@@ -240,3 +240,30 @@ def test_idioms_match_brute_force_and_read_only_stretches(spark):
     assert all(r.line == r.places[0].i + 1 and r.end_line == r.line + r.tokens - 1 for r in got)
     stretches = idioms._spans(docs, size, least).collect()
     assert {r.d for r in stretches} <= set(range(12)) and not any(t.startswith("x") for r in stretches for t in r.norm[size:-size])
+
+
+def _odd_functions(spark):
+    """Copies of a place, places without a line, file or name, a name in one file only."""
+    rows = [("load", f"f{i % 3}", i // 2) for i in range(40)] + [("load", "f1", 3)] * 3 + [("load", "f0", None), ("load", None, 1), (None, "f2", 1), ("solitary", "f1", 1), ("solitary", "f1", 2)]
+    return rows + [("loads", f"f{i % 2}", i) for i in range(20)] + [("loads", "f2", None)]
+
+
+def _brute(rows, near):
+    """All pairs by comparison of each with each, copies counted."""
+    pairs_of = lambda x, y: (x[0] != y[0] and {x[0], y[0]} == {"load", "loads"}) if near else x[0] == y[0]
+    return sorted(((x, y) for x in rows for y in rows if None not in (x[0], y[0], x[1], y[1]) and x[1] < y[1] and pairs_of(x, y)), key=str)
+
+
+def _listed(p):
+    place = lambda s: (s.name, s.file, s.line)
+    return sorted(((place(r.a), place(r.b)) for r in p.collect()), key=str)
+
+
+def test_exact_pairs_meet_in_groups_of_a_file(spark, monkeypatch):
+    rows = _odd_functions(spark)
+    f = functions(spark, rows)
+    met = pairs._met_groups(f)
+    assert met.count() == 6 and met.agg(F.sum(F.size("x_at") * F.size("y_at"))).first()[0] == len(_brute(rows, False))
+    assert _listed(pairs.exact_name_pairs(f)) == _brute(rows, False)
+    monkeypatch.setattr(pairs, "_BLOCK", 4)
+    assert _listed(pairs.exact_name_pairs(f)) == _brute(rows, False)
