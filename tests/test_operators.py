@@ -267,3 +267,14 @@ def test_exact_pairs_meet_in_groups_of_a_file(spark, monkeypatch):
     assert _listed(pairs.exact_name_pairs(f)) == _brute(rows, False)
     monkeypatch.setattr(pairs, "_BLOCK", 4)
     assert _listed(pairs.exact_name_pairs(f)) == _brute(rows, False)
+
+
+def test_near_pairs_meet_in_groups_and_test_no_words_of_functions(spark, monkeypatch):
+    rows = _odd_functions(spark)
+    f = functions(spark, rows)
+    p = pairs.near_name_pairs(f)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "split(" not in plan
+    assert _listed(p) == _brute(rows, True)
+    monkeypatch.setattr(pairs, "_BLOCK", 4)
+    assert _listed(pairs.near_name_pairs(f)) == _brute(rows, True)
