@@ -190,6 +190,19 @@ def test_evidence_by_set_is_that_of_each_pair(spark, monkeypatch):
     assert pairs.evidence_counts(pairs.counted_exact_evidence(f.limit(0))).first().pairs == 0
 
 
+def test_evidence_meets_in_units_and_few_copies(spark, monkeypatch):
+    frequent = spark.createDataFrame([("load", 50_000), ("run", 10)], "name string, n long")
+    assert {r.name: r.parts for r in pairs._parts(frequent, 8).collect()} == {"load": 32, "run": 1}
+    monkeypatch.setattr(pairs, "_BLOCK", 4)
+    f = spark.createDataFrame([("load", "xyz"[i % 3], i, None if i % 5 == 0 else 2, ["a"]) for i in range(40)], "name string, file string, line int, size int, shape_set array<string>")
+    units = pairs._units(pairs._numbered(f, pairs._set_pairs(f, 0.3, 0.6)[0])).collect()
+    assert sum(u.n for u in units) == 40 and 2 < len(units) < 40
+    got = sorted((r.a.file, r.a.line, r.b.file, r.b.line, r.status) for r in pairs.exact_evidence(f).collect())
+    rows = f.collect()
+    status = lambda a, b: "compared" if a.size or b.size else "ruled-out-size"  # noqa: E731  greatest and least leave null out
+    assert got == sorted((a.file, a.line, b.file, b.line, status(a, b)) for a in rows for b in rows if a.file < b.file)
+
+
 def test_counted_tiers_are_those_of_all_pairs(spark):
     rng = random.Random(5)
     names = ["load", "Load_", "lod", "getUser", "userz", "user", "main", None]
