@@ -255,6 +255,20 @@ def test_idioms_match_brute_force_and_read_only_stretches(spark):
     assert {r.d for r in stretches} <= set(range(12)) and not any(t.startswith("x") for r in stretches for t in r.norm[size:-size])
 
 
+def test_idioms_broadcast_no_table(spark, monkeypatch):
+    from echofold.operators import graph
+
+    plans = []
+    for name in ("_stored", "_cut"):
+        monkeypatch.setattr(graph, name, lambda df, f=getattr(graph, name): plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    words = ["x", *"abcdefgh", "y"]
+    docs = spark.createDataFrame([(d, f"f{d}", w, w, list(range(1, 11))) for d in range(3) for w in [[f"{c}{d}" if c in "xy" else c for c in words]]], "d int, file string, norm array<string>, names array<string>, lines array<int>")
+    kept = spark.conf.get(idioms._BATCH)
+    got = [(r.files, r.tokens) for r in idioms.find_idioms(docs, size=4, min_files=3, min_info=0.0).runs.collect()]
+    assert got == [(3, 8)] * 5 and spark.conf.get(idioms._BATCH) == kept
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def _odd_functions(spark):
     """Copies of a place, places without a line, file or name, a name in one file only."""
     rows = [("load", f"f{i % 3}", i // 2) for i in range(40)] + [("load", "f1", 3)] * 3 + [("load", "f0", None), ("load", None, 1), (None, "f2", 1), ("solitary", "f1", 1), ("solitary", "f1", 2)]
