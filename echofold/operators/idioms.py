@@ -54,15 +54,17 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession):
-    """Where the session has the default of 64 MB a batch, batches for Python are of 4 MB meanwhile: JVM and worker hold each several times, in each task."""
-    default = spark.conf.get(_BATCH, "67108864b") == "67108864b"
-    if default:
-        spark.conf.set(_BATCH, "4194304b")
+    """Where the session has the defaults of 64 MB and 10,000 rows a batch, batches for Python are of 4 MB and 512 rows meanwhile: JVM and worker hold each several times in each task, with all columns of its rows."""
+    changed = []
+    for key, default, small in ((_BATCH, "67108864b", "4194304b"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "512")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
+            changed.append(key)
     try:
         yield
     finally:
-        if default:
-            spark.conf.unset(_BATCH)
+        for key in changed:
+            spark.conf.unset(key)
 
 
 def _give_back() -> None:
